@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from tagloom.llm import quality_rules
+from tagloom.llm import packing, quality_rules, rans
 
 
 def queries() -> dict:
     return {
+        "op3_best_fit_packing": packing.op3_best_fit_packing,
+        "op5_token_ids": rans.op5_token_ids,
         "op6_quality_rules": quality_rules.op6_quality_rules,
     }
 
