@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tagloom.llm import packing, piece_bpe, quality_rules, rans
+from tagloom.llm import packing, piece_bpe, quality_rules, rans, setjoin
 
 
 def queries() -> dict:
@@ -10,6 +10,7 @@ def queries() -> dict:
         "op3_best_fit_packing": packing.op3_best_fit_packing,
         "op5_token_ids": rans.op5_token_ids,
         "op6_quality_rules": quality_rules.op6_quality_rules,
+        "op8_ngram_jaccard_join": setjoin.op8_ngram_jaccard_join,
         "op9_sentencepiece": piece_bpe.op9_sentencepiece,
     }
 
