@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from tagloom.llm import packing, piece_bpe, quality_rules, rans, setjoin, topk, toxicity
+from tagloom.llm import packing, piece_bpe, quality_rules, rans, setjoin, surrogates, topk, toxicity, url_rules
 
 
 def queries() -> dict:
     return {
         "op1_toxicity": toxicity.op1_toxicity,
         "op3_best_fit_packing": packing.op3_best_fit_packing,
+        "op4_url_filters": url_rules.op4_url_filters,
         "op5_token_ids": rans.op5_token_ids,
         "op6_quality_rules": quality_rules.op6_quality_rules,
+        "op7_surrogates": surrogates.op7_surrogates,
         "op8_ngram_jaccard_join": setjoin.op8_ngram_jaccard_join,
         "op9_sentencepiece": piece_bpe.op9_sentencepiece,
         "op10_exact_top_k": topk.op10_exact_top_k,
