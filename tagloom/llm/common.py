@@ -6,10 +6,14 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Space, and the characters from tab to carriage return: the only separators of words here (fixed values).
 SPACE = "\\x20\\x09-\\x0D"
 
+#: Ids that are broadcast to pick rows (8 bytes each); with more, the join shuffles.
+BROADCAST_ROWS = 2_000_000
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -36,3 +40,8 @@ def saved(df: DataFrame, *by: str) -> DataFrame:
 def words_of(text: str) -> str:
     """SQL for the array of words of a text column: runs of anything but SPACE."""
     return f"filter(split(coalesce({text}, ''), '[{SPACE}]+'), w -> w <> '')".replace("\\", "\\\\")
+
+
+def only(df: DataFrame, ids: DataFrame, how: str = "left_semi") -> DataFrame:
+    """df's rows whose doc_id is in ids (or isn't, left_anti); ids are broadcast if few enough."""
+    return df.join(F.broadcast(ids) if ids.count() <= BROADCAST_ROWS else ids, "doc_id", how)

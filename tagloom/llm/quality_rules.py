@@ -33,14 +33,14 @@ THRESHOLDS: list[tuple[str, str, float | None, float | None]] = [
 BASE_WORDS, BASE_REPEATS, WINDOW = 10, 20, 5
 
 
-def measures(docs: DataFrame) -> DataFrame:
-    """docs with the counts that rules are made of: n_words, word_chars, n_symbols, n_lines, n_dup_lines, n_stop_words, n_repeat_words."""
+def measures(docs: DataFrame, carry: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """The columns to carry and the counts that rules are made of: n_words, word_chars, n_symbols, n_lines, n_dup_lines, n_stop_words, n_repeat_words."""
     later = ", ".join(f"get(_h, i + {k})" for k in range(1, WINDOW))
     return (
-        docs.select("doc_id", F.coalesce("text", F.lit("")).alias("_t"))
-        .select("doc_id", "_t", F.expr(words_of("_t")).alias("_w"), F.expr(f"filter(split(_t, '\n'), l -> l rlike '[^{SPACE}]')".replace("\\", "\\\\").replace("'\n'", "'\\n'")).alias("_l"))
+        docs.select(*carry, F.coalesce("text", F.lit("")).alias("_t"))
+        .select(*carry, "_t", F.expr(words_of("_t")).alias("_w"), F.expr(f"filter(split(_t, '\n'), l -> l rlike '[^{SPACE}]')".replace("\\", "\\\\").replace("'\n'", "'\\n'")).alias("_l"))
         .select(
-            "doc_id",
+            *carry,
             F.size("_w").cast("long").alias("n_words"),
             F.char_length(F.regexp_replace("_t", f"[{SPACE}]+", "")).cast("long").alias("word_chars"),
             F.char_length(F.regexp_replace("_t", r"[^#*$%&|<>]+", "")).cast("long").alias("n_symbols"),
@@ -66,10 +66,10 @@ def verdict() -> Column:
     return F.coalesce(F.expr(" and ".join(f"coalesce({b}, true)" for b in bounds)), F.lit(True))
 
 
-def quality_rules(docs: DataFrame) -> DataFrame:
-    """A row per document: its counts, base_failed, and kept (not base_failed, and within every threshold)."""
+def quality_rules(docs: DataFrame, carry: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """A row per document: the columns to carry, its counts, base_failed, and kept (not base_failed, and within every threshold)."""
     base = F.expr(f"n_words < {BASE_WORDS} or 100 * n_repeat_words > {BASE_REPEATS} * n_words")
-    return measures(docs).withColumn("base_failed", base).withColumn("kept", F.expr("n_words > 0") & ~base & F.when(F.col("n_words") > 0, verdict()).otherwise(F.lit(False)))
+    return measures(docs, carry).withColumn("base_failed", base).withColumn("kept", F.expr("n_words > 0") & ~base & F.when(F.col("n_words") > 0, verdict()).otherwise(F.lit(False)))
 
 
 def op6_quality_rules(spark, sf_dir: str) -> DataFrame:

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from tagloom.llm import packing, piece_bpe, quality_rules, rans, setjoin, surrogates, topk, toxicity, url_rules
+from tagloom.llm import kneser_ney, packing, piece_bpe, quality_rules, rans, setjoin, surrogates, topk, toxicity, url_rules
 
 
 def queries() -> dict:
     return {
         "op1_toxicity": toxicity.op1_toxicity,
+        "op2_quality_classifier": kneser_ney.op2_quality_classifier,
         "op3_best_fit_packing": packing.op3_best_fit_packing,
         "op4_url_filters": url_rules.op4_url_filters,
         "op5_token_ids": rans.op5_token_ids,
