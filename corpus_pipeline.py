@@ -3,19 +3,56 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tagloom.llm.common import saved, table
+from tagloom.llm.common import only, saved, table
+from tagloom.llm.kneser_ney import quality_classifier
+from tagloom.llm.packing import best_fit_packing
 from tagloom.llm.quality_rules import quality_rules
+from tagloom.llm.setjoin import jaccard_components
+from tagloom.llm.surrogates import with_surrogates
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
+def by_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier rejects go, and so do those without an id, to which no verdict belongs."""
+    judged = saved(quality_classifier(docs, table(spark, sf_dir, "labels")).select("doc_id", "kept"))
+    rejected = judged.filter("not kept and doc_id is not null").select("doc_id").distinct()
+    return only(docs.filter("doc_id is not null"), rejected, "left_anti").select(COLUMNS)
+
+
 def by_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    kept = quality_rules(docs).filter("kept").select("doc_id")
-    return docs.join(kept, "doc_id", "left_semi").select(COLUMNS)
+    """Documents that the rules reject go; rows carry their columns through the projection, without a join."""
+    return quality_rules(docs, tuple(COLUMNS)).filter("kept").select(COLUMNS)
+
+
+def by_similarity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The smallest doc_id of each group of linked documents stays, once."""
+    groups = saved(jaccard_components(docs).select("doc_id", "component_id"))
+    others = groups.filter("component_id <> doc_id").select("doc_id").distinct()
+    kept = only(docs, others, "left_anti")
+    if groups.groupBy("doc_id").count().filter("count > 1 and doc_id is not null").limit(1).count():
+        kept = kept.filter("doc_id is null").unionByName(kept.filter("doc_id is not null").dropDuplicates(["doc_id"]))
+    return kept.select(COLUMNS)
+
+
+def with_private_data_replaced(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    replaced = with_surrogates(docs)
+    return replaced.withColumn("n_chars", F.char_length("text").cast("long")).select(COLUMNS)
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return best_fit_packing(docs)
 
 
-STAGES = [("quality rules", by_rules)]
+STAGES = [
+    ("quality classifier", by_classifier),
+    ("quality rules", by_rules),
+    ("n-gram Jaccard join", by_similarity),
+    ("PII", with_private_data_replaced),
+    ("best-fit packing", packed),
+]
 
 #: SQL can express neither the classifier nor the packing; tests/llm holds the stages against brute force.
 ORACLE_SQL = None
