@@ -72,6 +72,15 @@ def quality_rules(docs: DataFrame, carry: tuple[str, ...] = ("doc_id",)) -> Data
     return measures(docs, carry).withColumn("base_failed", base).withColumn("kept", F.expr("n_words > 0") & ~base & F.when(F.col("n_words") > 0, verdict()).otherwise(F.lit(False)))
 
 
+def passing(docs: DataFrame, carry: tuple[str, ...]) -> DataFrame:
+    """The columns to carry of the documents that are kept.
+
+    The row number keeps the filter above the projection: moved below, it would repeat the measures in each other.
+    """
+    judged = quality_rules(docs, carry).withColumn("_row", F.monotonically_increasing_id())
+    return judged.filter("kept and _row >= 0").select(*carry)
+
+
 def op6_quality_rules(spark, sf_dir: str) -> DataFrame:
     out = quality_rules(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
