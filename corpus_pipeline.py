@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tagloom.llm.common import only, saved, table
 from tagloom.llm.kneser_ney import quality_classifier
 from tagloom.llm.packing import best_fit_packing
-from tagloom.llm.quality_rules import quality_rules
+from tagloom.llm.quality_rules import passing
 from tagloom.llm.setjoin import jaccard_components
 from tagloom.llm.surrogates import with_surrogates
 
@@ -24,7 +24,7 @@ def by_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def by_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the rules reject go; rows carry their columns through the projection, without a join."""
-    return quality_rules(docs, tuple(COLUMNS)).filter("kept").select(COLUMNS)
+    return passing(docs, tuple(COLUMNS))
 
 
 def by_similarity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
