@@ -21,11 +21,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def shared_dir(spark: SparkSession) -> str:
     """The cluster's shared folder; a local one only where the session names none, as in tests."""
-    given = spark.conf.get("spark.checkpoint.dir", None)
-    if not given:
-        given = "file://" + tempfile.gettempdir() + "/tagloom-shared"
-        spark.conf.set("spark.checkpoint.dir", given)
-    return given
+    return spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.gettempdir() + "/tagloom-shared"
 
 
 def saved(df: DataFrame, *by: str) -> DataFrame:
@@ -42,6 +38,6 @@ def words_of(text: str) -> str:
     return f"filter(split(coalesce({text}, ''), '[{SPACE}]+'), w -> w <> '')".replace("\\", "\\\\")
 
 
-def only(df: DataFrame, ids: DataFrame, how: str = "left_semi") -> DataFrame:
-    """df's rows whose doc_id is in ids (or isn't, left_anti); ids are broadcast if few enough."""
-    return df.join(F.broadcast(ids) if ids.count() <= BROADCAST_ROWS else ids, "doc_id", how)
+def only(df: DataFrame, ids: DataFrame, how: str = "left_semi", on: str = "doc_id") -> DataFrame:
+    """df's rows whose id is in ids (or isn't, left_anti); ids are broadcast if few enough."""
+    return df.join(F.broadcast(ids) if ids.count() <= BROADCAST_ROWS else ids, on, how)
