@@ -185,8 +185,10 @@ def test_set_join_is_brute_force(spark, monkeypatch, least):
             texts.append(" ".join(t))
     texts += [None, "", "  ", "one two", "ONE two", "one two three four", "One Two Three four"]
     texts = list(enumerate(texts)) + [(0, texts[0])]
-    frequent = setjoin.frequent
+    frequent, family_pairs = setjoin.frequent, setjoin.family_pairs
     monkeypatch.setattr(setjoin, "frequent", lambda d: frequent(d, least))
+    # With few frequent shingles asked for, families are cut into small blocks as well.
+    monkeypatch.setattr(setjoin, "family_pairs", lambda d: family_pairs(d, 4 if least == 3 else setjoin.BLOCK))
     got = setjoin.jaccard_components(table(spark, texts)).collect()
     want = brute_components(dict(texts).items())
     assert len(got) == len(texts)
