@@ -1,12 +1,14 @@
 """Quality by the perplexity of an interpolated modified Kneser-Ney bigram model of trusted text.
 
 Trusted are documents whose label says quality 1. Words stand between white space, without a mark at their end and
-without a capital at their beginning only; those seen often enough in trusted text, VOCABULARY at most, are words of
-the model, and any other is an unknown word, whose probability is shared out over UNKNOWN_TYPES possible ones.
+without a capital at their beginning only; those seen LEAST_COUNT times or more in trusted text are words of the
+model, and any other is an unknown word, whose probability is shared out over UNKNOWN_TYPES possible ones. Words are
+numbered by their 64-bit hashes, from the most frequent on; these numbers (12 bytes a word) are broadcast.
 
-Bigram counts of all trusted text make the count table, in shards of about SHARD entries by a hash of the bigram. Each
-part of the input asks each shard once for its distinct bigrams, packed; where many parts ask, a shard is sent to
-several tasks. The answers meet the part's documents again, as word numbers. Tables over single words are bounded by VOCABULARY and broadcast.
+Bigram counts of all trusted text make the count table, in shards of about SHARD entries by a hash of the bigram. The
+counts of single words stand in the same table under contexts of their own (WORD_COUNTS of them, from the number of
+words on). Each part of the input asks each shard once for its distinct bigrams and words, packed; where many parts
+ask, a shard is sent to several tasks. The answers meet the part's documents again, as word numbers.
 
 One in CALIBRATION trusted documents is kept out of vocabulary and counts, and only these set the thresholds: a
 model knows the words of what it was trained on too well. A document goes if its log perplexity is above the QUANTILE
@@ -24,6 +26,7 @@ from collections import Counter
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -31,9 +34,12 @@ from pyspark.sql import functions as F
 from tagloom.llm.common import only, saved, table
 from tagloom.llm.word_ids import Memo
 
-VOCABULARY, LEAST_COUNT, UNKNOWN_TYPES, SHARD = 30_000, 3, 1_000_000, 2_000_000
+LEAST_COUNT, UNKNOWN_TYPES, SHARD = 3, 1_000_000, 2_000_000
 QUANTILE, MARGIN, LEAST_TRUSTED, PRIOR_WORDS, CALIBRATION = 0.998, 0.25, 100, 20, 5
 START, UNKNOWN = 0, 1
+#: Of a word: all after it, the different ones after it once, twice and more often, and the different ones before it.
+TOTAL, ONCE, TWICE, OFTEN, BEFORE = range(5)
+WORD_COUNTS = 5
 
 
 def word_of(chunk: str) -> str:
@@ -41,15 +47,25 @@ def word_of(chunk: str) -> str:
     return word.lower() if word.istitle() else word
 
 
+def hash_of(word: str) -> int:
+    h = xxhash.xxh3_64_intdigest(word.encode("utf-8", "surrogatepass"))
+    return h - (1 << 64) if h >> 63 else h
+
+
 class _Numbers(Memo):
-    def __init__(self, numbers: dict[str, int]):
+    def __init__(self, hashes: np.ndarray, ranks: np.ndarray):
         super().__init__()
-        self.numbers = numbers
+        self.hashes, self.ranks = hashes, ranks
+
+    def number(self, word: str) -> int:
+        h = hash_of(word)
+        at = int(np.searchsorted(self.hashes, np.int64(h)))
+        return int(self.ranks[at]) + 2 if at < len(self.hashes) and self.hashes[at] == h else UNKNOWN
 
     def __missing__(self, chunk: str) -> int:
         found = self.old.get(chunk)
         if found is None:
-            found = self.numbers.get(word_of(chunk), UNKNOWN)
+            found = self.number(word_of(chunk))
         return self.keep(chunk, found) if len(chunk) <= 64 else found
 
 
@@ -62,8 +78,8 @@ def calibrates(column: str = "doc_id") -> Column:
     return F.pmod(F.xxhash64(F.lit("calibration"), column), F.lit(CALIBRATION)) == 0
 
 
-def vocabulary(trusted: DataFrame, most: int = VOCABULARY) -> list[str]:
-    """The `most` most frequent words of those counted LEAST_COUNT times or more."""
+def vocabulary(trusted: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """The hashes of all words counted LEAST_COUNT times or more, ascending, and their ranks from the most frequent on."""
 
     def count(batches):
         words: Counter = Counter()
@@ -73,7 +89,7 @@ def vocabulary(trusted: DataFrame, most: int = VOCABULARY) -> list[str]:
             for chunk, n in words.items():
                 kept[word_of(chunk)] += n
             kept.pop("", None)
-            return pa.RecordBatch.from_arrays([pa.array(list(kept), pa.string()), pa.array(list(kept.values()), pa.int64())], ["word", "n"])
+            return pa.RecordBatch.from_arrays([pa.array(list(map(hash_of, kept)), pa.int64()), pa.array(list(kept.values()), pa.int64())], ["h", "n"])
 
         for batch in batches:
             for text in batch["text"].to_pylist():
@@ -83,32 +99,49 @@ def vocabulary(trusted: DataFrame, most: int = VOCABULARY) -> list[str]:
                 words = Counter()
         yield often()
 
-    counted = trusted.select("text").mapInArrow(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")).filter(F.col("n") >= LEAST_COUNT)
-    return [r["word"] for r in counted.orderBy(F.desc("n"), "word").limit(most).collect()]
+    counted = trusted.select("text").mapInArrow(count, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).filter(F.col("n") >= LEAST_COUNT).toArrow()
+    hashes, n = (counted[k].to_numpy() for k in ("h", "n"))
+    order = np.argsort(hashes)
+    hashes, n = hashes[order], n[order]
+    ranks = np.empty(len(n), np.uint32)
+    ranks[np.lexsort((hashes, -n))] = np.arange(len(n))
+    return hashes, ranks
+
+
+def squeezed(numbers: np.ndarray) -> bytes:
+    """Numbers compressed, first bytes first: those of high order are mostly zeros."""
+    return zlib.compress(np.ascontiguousarray(numbers).view(np.uint8).reshape(len(numbers), numbers.itemsize).T.tobytes(), 1)
 
 
-def numbered(docs: DataFrame, words: list[str]) -> DataFrame:
-    """Documents as word numbers (compressed), and rows with the distinct bigrams of each part p of the input."""
-    sent = docs.sparkSession.sparkContext.broadcast({w: i + 2 for i, w in enumerate(words)})
-    size = len(words) + 2
+def unsqueezed(packed: bytes, kind: str) -> np.ndarray:
+    size = np.dtype(kind).itemsize
+    return np.ascontiguousarray(np.frombuffer(zlib.decompress(packed), np.uint8).reshape(size, -1).T).view(kind).reshape(-1)
+
+
+def numbered(docs: DataFrame, words: tuple[np.ndarray, np.ndarray]) -> DataFrame:
+    """Documents as word numbers (compressed), and rows with what each part p of the input asks: distinct bigrams, and the counts of their words."""
+    sent = docs.sparkSession.sparkContext.broadcast(words)
+    size = len(words[0]) + 2
 
     def number(batches):
-        numbers, part = _Numbers(sent.value), TaskContext.get().partitionId()
+        numbers, part = _Numbers(*sent.value), TaskContext.get().partitionId()
         seen, waiting = np.empty(0, np.int64), []
         names = ["doc_id", "lang", "p", "n", "words", "bigrams"]
         for batch in batches:
             ns, packed = [], []
             for text in batch["text"].to_pylist():
                 chunks = (text or "").split()
-                w = np.fromiter(map(numbers.__getitem__, chunks), np.uint16, len(chunks))
+                w = np.fromiter(map(numbers.__getitem__, chunks), np.uint32, len(chunks))
                 ns.append(len(w))
-                packed.append(zlib.compress(w.tobytes(), 1))
+                packed.append(squeezed(w))
                 waiting.append(np.unique(bigrams(w, size)))
             if sum(map(len, waiting)) > 2_000_000:
                 seen, waiting = np.unique(np.concatenate([seen, *waiting])), []
             k = len(ns)
             yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["lang"], pa.array([part] * k, pa.int32()), pa.array(ns, pa.int64()), pa.array(packed, pa.binary()), pa.nulls(k, pa.binary())], names)
         seen = np.unique(np.concatenate([seen, *waiting]))
+        left, right = np.unique(seen // size), np.unique(seen % size)
+        seen = np.concatenate([seen, *[(size + k) * size + left for k in (TOTAL, ONCE, TWICE, OFTEN)], (size + BEFORE) * size + right])
         for k in range(0, len(seen), 1_000_000):
             own = seen[k : k + 1_000_000]
             yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.nulls(1, pa.string()), pa.array([part], pa.int32()), pa.array([len(own)]), pa.nulls(1, pa.binary()), pa.array([pack(own)])], names)
@@ -123,12 +156,12 @@ def bigrams(words: np.ndarray, size: int) -> np.ndarray:
 
 
 def pack(keys: np.ndarray) -> bytes:
-    """Ascending numbers below 2**32 by their differences, compressed."""
-    return zlib.compress(np.diff(keys, prepend=0).astype("<u4").tobytes(), 1)
+    """Ascending numbers below 2**63 by their differences, compressed."""
+    return squeezed(np.diff(keys, prepend=0).astype("<i8"))
 
 
 def unpack(packed: bytes) -> np.ndarray:
-    return np.cumsum(np.frombuffer(zlib.decompress(packed), "<u4").astype(np.int64))
+    return np.cumsum(unsqueezed(packed, "<i8"))
 
 
 def shard_of(keys: np.ndarray, shards: int) -> np.ndarray:
@@ -147,22 +180,48 @@ def counted(rows: DataFrame, size: int, shards: int) -> DataFrame:
 
         for batch in batches:
             for packed in batch["words"].to_pylist():
-                waiting.append(np.unique(bigrams(np.frombuffer(zlib.decompress(packed), np.uint16), size), return_counts=True))
+                waiting.append(np.unique(bigrams(unsqueezed(packed, "<u4"), size), return_counts=True))
                 waits += len(waiting[-1][0])
                 if waits > SHARD:
                     held, waiting, waits = merged(), [], 0
         keys, c = merged()
         of = shard_of(keys, shards)
         for k in np.unique(of).tolist():
-            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([pack(keys[of == k])]), pa.array([zlib.compress(c[of == k].astype("<u4").tobytes(), 1)])], ["shard", "keys", "counts"])
+            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([pack(keys[of == k])]), pa.array([squeezed(c[of == k].astype("<i8"))])], ["shard", "keys", "counts"])
+
+    schema = "shard int, keys binary, counts binary"
+    return rows.select("words").mapInArrow(count, schema).groupBy("shard").applyInArrow(merged_shard, schema)
 
-    def merge(t: pa.Table) -> pa.Table:
-        keys, at = np.unique(np.concatenate([unpack(x) for x in t["keys"].to_pylist()]), return_inverse=True)
-        c = np.bincount(at, np.concatenate([np.frombuffer(zlib.decompress(x), "<u4") for x in t["counts"].to_pylist()]), len(keys))
-        return pa.table([t["shard"][:1], pa.array([pack(keys)]), pa.array([zlib.compress(np.minimum(c, 2**32 - 1).astype("<u4").tobytes(), 1)])], ["shard", "keys", "counts"])
+
+def merged_shard(t: pa.Table) -> pa.Table:
+    keys, at = np.unique(np.concatenate([unpack(x) for x in t["keys"].to_pylist()]), return_inverse=True)
+    c = np.bincount(at, np.concatenate([unsqueezed(x, "<i8") for x in t["counts"].to_pylist()]), len(keys))
+    return pa.table([t["shard"][:1], pa.array([pack(keys)]), pa.array([squeezed(c.astype("<i8"))])], ["shard", "keys", "counts"])
+
+
+def word_counts(counts: DataFrame, size: int) -> DataFrame:
+    """(bigram, c) of the WORD_COUNTS contexts: what the counts say of single words."""
+    kinds = [F.sum("c").alias("c0"), F.count_if(F.col("c") == 1).alias("c1"), F.count_if(F.col("c") == 2).alias("c2"), F.count_if(F.col("c") > 2).alias("c3")]
+    after = counts.groupBy(F.expr(f"bigram div {size}").alias("w")).agg(*kinds)
+    after = after.select("w", F.posexplode(F.array("c0", "c1", "c2", "c3")).alias("k", "c")).filter("c > 0")
+    before = counts.groupBy(F.expr(f"bigram % {size}").alias("w")).agg(F.count("*").alias("c")).select("w", F.lit(BEFORE).alias("k"), "c")
+    return after.unionByName(before).select(((F.lit(size) + F.col("k")).cast("long") * size + F.col("w")).alias("bigram"), "c")
+
+
+def in_shards(counts: DataFrame, shards: int) -> DataFrame:
+    """(bigram, c) as shards like those of the count table."""
+
+    def split(batches):
+        for batch in batches:
+            keys, c = batch["bigram"].to_numpy(), batch["c"].to_numpy()
+            order = np.argsort(keys)
+            keys, c = keys[order], c[order]
+            of = shard_of(keys, shards)
+            for k in np.unique(of).tolist():
+                yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([pack(keys[of == k])]), pa.array([squeezed(c[of == k].astype("<i8"))])], ["shard", "keys", "counts"])
 
     schema = "shard int, keys binary, counts binary"
-    return rows.select("words").mapInArrow(count, schema).groupBy("shard").applyInArrow(merge, schema)
+    return counts.mapInArrow(split, schema).groupBy("shard").applyInArrow(merged_shard, schema)
 
 
 def unpacked(table_: DataFrame) -> DataFrame:
@@ -171,7 +230,7 @@ def unpacked(table_: DataFrame) -> DataFrame:
     def rows(batches):
         for batch in batches:
             for keys, counts in zip(batch["keys"].to_pylist(), batch["counts"].to_pylist(), strict=True):
-                b, c = unpack(keys), np.frombuffer(zlib.decompress(counts), "<u4").astype(np.int64)
+                b, c = unpack(keys), unsqueezed(counts, "<i8")
                 for k in range(0, len(b), 100_000):
                     yield pa.RecordBatch.from_arrays([pa.array(b[k : k + 100_000]), pa.array(c[k : k + 100_000])], ["bigram", "c"])
 
@@ -195,15 +254,17 @@ def answered(asked: DataFrame, table_: DataFrame, shards: int, copies: int) -> D
     def look_up(key: tuple, asks: pa.Table, tables: pa.Table) -> pa.Table:
         parts, keys, counts = [], [], []
         if len(tables):
-            b = unpack(tables["keys"][0].as_py())
-            c = np.frombuffer(zlib.decompress(tables["counts"][0].as_py()), "<u4")
+            b = np.concatenate([unpack(x) for x in tables["keys"].to_pylist()])
+            c = np.concatenate([unsqueezed(x, "<i8") for x in tables["counts"].to_pylist()])
+            order = np.argsort(b)
+            b, c = b[order], c[order]
             for part, packed in zip(asks["part"].to_pylist(), asks["bigrams"].to_pylist(), strict=True):
                 k = unpack(packed)
                 at = np.minimum(np.searchsorted(b, k), len(b) - 1)
                 has = b[at] == k
                 parts.append(part)
                 keys.append(pack(k[has]))
-                counts.append(zlib.compress(c[at[has]].tobytes(), 1))
+                counts.append(squeezed(c[at[has]]))
         return pa.table([pa.array(parts, pa.int32()), pa.array(keys, pa.binary()), pa.array(counts, pa.binary())], ["part", "keys", "counts"])
 
     asks = asked.mapInArrow(split, "part int, shard int, bigrams binary").withColumn("copy", F.pmod(F.xxhash64("part"), F.lit(copies)).cast("int"))
@@ -220,59 +281,77 @@ def discounts(of_counts: dict[int, int]) -> np.ndarray:
 
 
 class Model:
-    """Arrays over single words: contexts' totals and left-over weights, and the lower order's probabilities."""
+    """Discounts and the lower order's shares; of single words only what answers(), or else all of a small table."""
 
-    def __init__(self, counts: DataFrame, size: int):
-        left, right = F.expr(f"bigram div {size}"), F.expr(f"bigram % {size}")
+    def __init__(self, counts: DataFrame, size: int, of_words: DataFrame | None = None):
         of = {r["c"]: r["n"] for r in counts.filter("c < 5").groupBy("c").agg(F.count("*").alias("n")).collect()}
         self.size, self.d = size, discounts(of)
-        self.total, left_over = np.zeros(size), np.zeros(size)
-        kinds = [F.count_if(F.col("c") == k).alias(f"n{k}") for k in (1, 2)] + [F.count_if(F.col("c") > 2).alias("n3")]
-        for r in counts.groupBy(left.alias("w")).agg(F.sum("c").alias("c"), *kinds).collect():
-            self.total[r["w"]] = r["c"]
-            left_over[r["w"]] = self.d[1] * r["n1"] + self.d[2] * r["n2"] + self.d[3] * r["n3"]
-        self.gamma = np.where(self.total > 0, left_over / np.maximum(self.total, 1), 1.0)
-        before = np.zeros(size)
-        for r in counts.groupBy(right.alias("w")).agg(F.count("*").alias("n")).collect():
-            before[r["w"]] = r["n"]
-        d = discounts(dict(Counter(before[before > 0].astype(int).tolist())))
-        cut = d[np.minimum(before, 3).astype(int)]
-        whole = max(before.sum(), 1)
-        self.lower = np.maximum(before - cut, 0) / whole + cut.sum() / whole / size
-        self.lower[UNKNOWN] = max(self.lower[UNKNOWN], 1 / size)
-        self.lower /= self.lower.sum()
+        small = of_words is None
+        of_words = word_counts(counts, size) if small else of_words
+        before = of_words.filter(F.col("bigram") >= (size + BEFORE) * size)
+        least = before.groupBy(F.least("c", F.lit(5)).alias("c")).agg(F.count("*").alias("n"), F.sum("c").alias("all")).collect()
+        n = {r["c"]: r["n"] for r in least}
+        self.lower_d = discounts({k: n.get(k, 0) for k in range(1, 5)})
+        self.whole = max(sum(r["all"] for r in least), 1)
+        self.rest = sum(self.lower_d[min(k, 3)] * m for k, m in n.items()) / self.whole / size
+        unknown = before.filter(F.col("bigram") == (size + BEFORE) * size + UNKNOWN).agg(F.sum("c")).first()[0] or 0
+        own = self._lower(np.array([unknown]))[0]
+        self.unknown = max(own, 1 / size)
+        self.norm = (1.0 if n else 0.0) + self.unknown - own
+        if small:
+            rows = of_words.orderBy("bigram").collect()
+            self.answers(np.array([r["bigram"] for r in rows], np.int64), np.array([r["c"] for r in rows], np.int64))
+
+    def _lower(self, before: np.ndarray) -> np.ndarray:
+        return np.maximum(before - self.lower_d[np.minimum(before, 3)], 0) / self.whole + self.rest
+
+    def answers(self, keys: np.ndarray, c: np.ndarray) -> None:
+        """From now on words have these counts (keys ascending); other words have none."""
+        self.keys, self.c = np.append(keys, np.iinfo(np.int64).max), np.append(c, 0)
+
+    def _of(self, kind: int, words: np.ndarray) -> np.ndarray:
+        keys = (self.size + kind) * self.size + words
+        at = np.searchsorted(self.keys, keys)
+        return np.where(self.keys[at] == keys, self.c[at], 0)
 
     def log_probabilities(self, keys: np.ndarray, c: np.ndarray) -> np.ndarray:
-        w, v = keys // self.size, keys % self.size
-        p = np.maximum(c - self.d[np.minimum(c, 3)], 0) / np.maximum(self.total[w], 1) + self.gamma[w] * self.lower[v]
-        return np.log(np.where(v == UNKNOWN, p / UNKNOWN_TYPES, p))
+        w, at_w = np.unique(keys // self.size, return_inverse=True)
+        v, at_v = np.unique(keys % self.size, return_inverse=True)
+        total = self._of(TOTAL, w)
+        left_over = self.d[1] * self._of(ONCE, w) + self.d[2] * self._of(TWICE, w) + self.d[3] * self._of(OFTEN, w)
+        gamma = np.where(total > 0, left_over / np.maximum(total, 1), 1.0)
+        lower = np.where(v == UNKNOWN, self.unknown, self._lower(self._of(BEFORE, v))) / self.norm
+        p = np.maximum(c - self.d[np.minimum(c, 3)], 0) / np.maximum(total, 1)[at_w] + gamma[at_w] * lower[at_v]
+        return np.log(np.where(v[at_v] == UNKNOWN, p / UNKNOWN_TYPES, p))
 
 
 def perplexities(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, lang, n_words and log_perplexity (null without words, or without trusted text)."""
     ids = saved(trusted_ids(labels).filter(~calibrates()))
     words = vocabulary(only(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), ids))
-    size = len(words) + 2
+    size = len(words[0]) + 2
     rows = saved(numbered(docs, words))
     texts = rows.filter("words is not null")
     asked = rows.filter("bigrams is not null").select(F.col("p").alias("part"), "n", "bigrams")
     shards = min(-(-(texts.agg(F.sum("n")).first()[0] or 1) // SHARD), -(-size * size // SHARD))
     copies = max(1, -(-(asked.agg(F.sum("n")).first()[0] or 1) // (shards * SHARD)))
     counts = saved(counted(only(texts.select("doc_id", "words"), ids), size, shards))
-    model = Model(unpacked(counts), size)
-    sent = docs.sparkSession.sparkContext.broadcast(model)
-    answers = answered(asked.select("part", "bigrams"), counts, shards, copies)
+    of_words = saved(in_shards(word_counts(unpacked(counts), size), shards))
+    sent = docs.sparkSession.sparkContext.broadcast(Model(unpacked(counts), size, unpacked(of_words)))
+    answers = answered(asked.select("part", "bigrams"), counts.unionByName(of_words), shards, copies)
 
     def score(key: tuple, own: pa.Table, known: pa.Table) -> pa.Table:
         model = sent.value
         b = np.concatenate([np.empty(0, np.int64), *[unpack(x) for x in known["keys"].to_pylist()]])
-        c = np.concatenate([np.empty(0, np.int64), *[np.frombuffer(zlib.decompress(x), "<u4").astype(np.int64) for x in known["counts"].to_pylist()]])
+        c = np.concatenate([np.empty(0, np.int64), *[unsqueezed(x, "<i8") for x in known["counts"].to_pylist()]])
         order = np.argsort(b)
-        b, c = np.append(b[order], -1), np.append(c[order], 0)
-        b[-1] = np.iinfo(np.int64).max
+        b, c = b[order], c[order]
+        cut = int(np.searchsorted(b, model.size * model.size))
+        model.answers(b[cut:], c[cut:])
+        b, c = np.append(b[:cut], np.iinfo(np.int64).max), np.append(c[:cut], 0)
         found = []
         for packed in own["words"].to_pylist():
-            keys = bigrams(np.frombuffer(zlib.decompress(packed), np.uint16), model.size)
+            keys = bigrams(unsqueezed(packed, "<u4"), model.size)
             at = np.searchsorted(b, keys)
             found.append(-float(model.log_probabilities(keys, np.where(b[at] == keys, c[at], 0)).mean()) if len(keys) else None)
         return pa.table([own["doc_id"], own["lang"], own["n"], pa.array(found, pa.float64())], ["doc_id", "lang", "n_words", "log_perplexity"])

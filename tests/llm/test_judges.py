@@ -74,6 +74,32 @@ def test_kneser_ney_sums_to_one(spark):
         assert abs(p.sum() - 1) < 1e-6
 
 
+def test_every_word_seen_often_enough_is_in_the_model(spark):
+    words = [f"w{i}q" for i in range(70_000)]
+    hashes, ranks = kneser_ney.vocabulary(table(spark, [(0, " ".join(words * 3)), (1, "often " * 9), (2, "rare rare")]))
+    assert len(hashes) == len(words) + 1 and sorted(ranks.tolist()) == list(range(len(hashes)))
+    numbers = kneser_ney._Numbers(hashes, ranks)
+    assert numbers["often"] == 2 and numbers["rare"] == kneser_ney.UNKNOWN and len({numbers[w] for w in words}) == len(words)
+    wide = np.array([2, len(words), 3], np.uint32)
+    assert kneser_ney.unsqueezed(kneser_ney.squeezed(wide), "<u4").tolist() == wide.tolist()
+    keys = kneser_ney.bigrams(wide, 70_003)
+    assert kneser_ney.unpack(kneser_ney.pack(np.sort(keys))).tolist() == sorted(keys.tolist()) and keys.max() > 2**32
+
+
+def test_single_words_counts_by_the_join_are_those_of_the_whole_table(spark):
+    texts = [(i, f"a b c{i % 7} a d{i % 3} b b") for i in range(60)]
+    labels = spark.createDataFrame([(i, 1, None) for i in range(60)], "doc_id long, quality int, toxic int")
+    got = {r.doc_id: r.log_perplexity for r in kneser_ney.perplexities(table(spark, texts), labels).collect()}
+    ids = {r.doc_id for r in kneser_ney.trusted_ids(labels).filter(~kneser_ney.calibrates()).collect()}
+    numbers = kneser_ney._Numbers(*kneser_ney.vocabulary(table(spark, [t for t in texts if t[0] in ids])))
+    size = len(numbers.hashes) + 2
+    keys = {i: kneser_ney.bigrams(np.array([numbers[w] for w in t.split()]), size) for i, t in texts}
+    known = dict(zip(*[x.tolist() for x in np.unique(np.concatenate([keys[i] for i in ids]), return_counts=True)], strict=True))
+    model = kneser_ney.Model(spark.createDataFrame(list(known.items()), "bigram long, c long"), size)
+    for i, k in keys.items():
+        assert abs(got[i] + model.log_probabilities(k, np.array([known.get(int(x), 0) for x in k])).mean()) < 1e-9
+
+
 def test_toxicity_nearest_is_exact():
     rnd = np.random.default_rng(4)
     ex = [({int(t): int(rnd.integers(1, 4)) for t in rnd.integers(0, 50, rnd.integers(0, 9))}, int(rnd.random() < 0.3)) for _ in range(500)]
