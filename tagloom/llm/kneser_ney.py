@@ -12,7 +12,8 @@ ask, a shard is sent to several tasks. The answers meet the part's documents aga
 
 One in CALIBRATION trusted documents is kept out of vocabulary and counts, and only these set the thresholds: a
 model knows the words of what it was trained on too well. A document goes if its log perplexity is above the QUANTILE
-of those of its language plus MARGIN; a language with less than LEAST_TRUSTED of them, or null, uses that of all.
+of those of its language plus MARGIN. That quantile is drawn to the one of all languages, which counts as PRIOR_TRUSTED
+documents, so no number of documents switches between the two; the null language uses that of all.
 
 Null and empty texts have no words: perplexity null, not kept. Labels of null don't count, and an id labelled several
 times is trusted if any label says so. Without trusted text every text with words is kept. Repeated rows each give a
@@ -35,7 +36,7 @@ from tagloom.llm.common import only, saved, table
 from tagloom.llm.word_ids import Memo
 
 LEAST_COUNT, UNKNOWN_TYPES, SHARD = 3, 1_000_000, 2_000_000
-QUANTILE, MARGIN, LEAST_TRUSTED, PRIOR_WORDS, CALIBRATION = 0.998, 0.25, 100, 20, 5
+QUANTILE, MARGIN, PRIOR_TRUSTED, PRIOR_WORDS, CALIBRATION = 0.998, 0.25, 100, 20, 5
 START, UNKNOWN = 0, 1
 #: Of a word: all after it, the different ones after it once, twice and more often, and the different ones before it.
 TOTAL, ONCE, TWICE, OFTEN, BEFORE = range(5)
@@ -368,9 +369,10 @@ def quality_classifier(docs: DataFrame, labels: DataFrame, quantile: float = QUA
     drawn = scored.join(middle, scored.lang.eqNullSafe(middle.lang), "left").drop(middle.lang)
     drawn = drawn.withColumn("_drawn", F.expr(f"(log_perplexity * n_words + _middle * {PRIOR_WORDS}) / (n_words + {PRIOR_WORDS})"))
     known = only(drawn.filter("_drawn is not null"), trusted_ids(labels).filter(calibrates()))
-    by_lang = known.groupBy("lang").agg(F.percentile_approx("_drawn", quantile, 10_000).alias("_own"), F.count("*").alias("_n")).filter(f"_n >= {LEAST_TRUSTED} and lang is not null").drop("_n")
+    by_lang = known.groupBy("lang").agg(F.percentile_approx("_drawn", quantile, 10_000).alias("_own"), F.count("*").alias("_n")).filter("lang is not null")
     overall = known.agg(F.percentile_approx("_drawn", quantile, 10_000)).first()[0]
-    judged = drawn.join(F.broadcast(by_lang), "lang", "left").withColumn("threshold", F.coalesce("_own", F.lit(overall).cast("double")) + margin)
+    shrunk = F.expr(f"_own * _n / (_n + {PRIOR_TRUSTED})") + F.lit(overall).cast("double") * F.expr(f"{PRIOR_TRUSTED} / (_n + {PRIOR_TRUSTED})")
+    judged = drawn.join(F.broadcast(by_lang), "lang", "left").withColumn("threshold", F.coalesce(shrunk, F.lit(overall).cast("double")) + margin)
     return judged.select("doc_id", "lang", "n_words", "log_perplexity", "threshold", F.expr("n_words > 0 and coalesce(_drawn <= threshold, true)").alias("kept"))
 
 

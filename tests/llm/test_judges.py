@@ -100,6 +100,19 @@ def test_single_words_counts_by_the_join_are_those_of_the_whole_table(spark):
         assert abs(got[i] + model.log_probabilities(k, np.array([known.get(int(x), 0) for x in k])).mean()) < 1e-9
 
 
+def test_small_languages_have_thresholds_of_their_own(spark, monkeypatch):
+    # Languages of 20, 99, 100 and 101 calibration documents: perplexities 1 to 2 in xx and 2 to 3 in the others.
+    rows, ids = [], (r.id for r in spark.range(4000).filter(kneser_ney.calibrates("id")).collect())
+    for lang, n in (("xx", 400), ("a", 20), ("b", 99), ("c", 100), ("d", 101), (None, 5)):
+        rows += [(next(ids), lang, 1000, (1.0 if lang == "xx" else 2.0) + k / n) for k in range(n)]
+    scored = spark.createDataFrame(rows, "doc_id long, lang string, n_words long, log_perplexity double")
+    monkeypatch.setattr(kneser_ney, "perplexities", lambda docs, labels: scored)
+    labels = spark.createDataFrame([(r[0], 1, None) for r in rows], "doc_id long, quality int, toxic int")
+    got = dict(kneser_ney.quality_classifier(None, labels, 0.5, 0.0).select("lang", "threshold").distinct().collect())
+    assert got["xx"] < got[None] < got["a"] < got["b"] - 0.01
+    assert abs(got["b"] - got["c"]) < 0.02 and abs(got["c"] - got["d"]) < 0.02
+
+
 def test_toxicity_nearest_is_exact():
     rnd = np.random.default_rng(4)
     ex = [({int(t): int(rnd.integers(1, 4)) for t in rnd.integers(0, 50, rnd.integers(0, 9))}, int(rnd.random() < 0.3)) for _ in range(500)]
