@@ -234,6 +234,12 @@ def test_set_join_is_brute_force(spark, monkeypatch, least):
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == want
 
 
+def test_shared_entries_of_long_sets_are_counted_past_16_bits():
+    n = 70_000
+    a, b, c = setjoin.shared_entries(np.repeat([0, 1], n), np.tile(np.arange(n), 2), np.zeros(2, int), np.array([5, 6]), True)
+    assert (a.tolist(), b.tolist(), c.tolist()) == ([0], [1], [n])
+
+
 def test_set_join_of_nothing(spark):
     assert setjoin.jaccard_components(table(spark, [(1, "a")]).limit(0)).count() == 0
 
