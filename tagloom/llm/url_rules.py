@@ -1,9 +1,11 @@
 """URL filters: listed rules first, then association rules mined from labelled pages by FP-growth.
 
-A page's items are its host labels' words, its path's words, scheme, port and query keys. FP-growth runs on the items
-of labelled pages and the item BLOCK of those labelled toxic or of low quality; rules for BLOCK with enough
-confidence and support remain, MAX_RULES at most. Each rule is indexed under its rarest item, and a page is looked up
-in that index by its items and checked against the whole rule. DataFrame operations only.
+A page's items are its host labels' words, its path's words and query keys, all of them. Items that stand in the
+same labelled pages are one class: no rule can tell them apart, and any of them stands for the class. FP-growth runs
+on the classes of labelled pages and the item BLOCK of those labelled toxic or of low quality; all rules for BLOCK with
+enough confidence and support count. A rule that has one item more than another and isn't surer is left out, which
+changes neither verdict nor confidence. Each rule is indexed under its rarest class, and a page is looked up in that
+index by its classes and checked against the whole rule. DataFrame operations only.
 
 Null urls and urls without "://" have an empty host and path and no rule fits them. Without labels, or without a
 rule that is sure enough, the method allows. Repeated rows each give a row, extra columns aren't read.
@@ -15,11 +17,11 @@ from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tagloom.llm.common import table
+from tagloom.llm.common import saved, table
 
 #: (verdict, host, path): a rule fits its host and all subdomains where the path begins with its own (fixed values).
 LISTED = [("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/")]
-SUPPORT, CONFIDENCE, MAX_RULES, MAX_ITEMS = 0.002, 0.6, 10_000, 24
+SUPPORT, CONFIDENCE = 0.002, 0.6
 BLOCK = "label=block"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -41,7 +43,7 @@ def listed(rules: list[tuple[str, str, str]] = LISTED) -> Column:
 
 
 def items(url: str = "url") -> Column:
-    """The distinct items of a page, MAX_ITEMS at most for mining (a long query string isn't a transaction)."""
+    """The distinct items of a page."""
     text = F.coalesce(F.col(url), F.lit(""))
     words = F.filter(F.split(F.col("host"), r"[^a-z0-9]+"), lambda w: (w != "") & ~w.rlike("^[0-9]+$"))
     path = F.filter(F.split(F.lower("path"), r"[^\p{L}]+"), lambda w: w != "")
@@ -49,26 +51,38 @@ def items(url: str = "url") -> Column:
     return F.array_distinct(F.concat(F.transform(words, lambda w: F.concat(F.lit("host="), w)), F.transform(path, lambda w: F.concat(F.lit("path="), w)), F.transform(keys, lambda w: F.concat(F.lit("key="), w))))
 
 
-def mine(pages: DataFrame, labels: DataFrame, support: float = SUPPORT, confidence: float = CONFIDENCE) -> DataFrame:
-    """ante (items) and confidence of the rules for BLOCK; pages has page_id and items."""
+def mine(pages: DataFrame, labels: DataFrame, support: float = SUPPORT, confidence: float = CONFIDENCE) -> tuple[DataFrame, DataFrame]:
+    """ante (classes), confidence and item (the rarest class) of the rules for BLOCK, and the item and class of frequent items; pages has page_id and items."""
     known = labels.filter("doc_id is not null and (quality is not null or toxic is not null)").select(F.col("doc_id").alias("_id"), ((F.col("toxic") == 1) | (F.col("quality") == 0)).alias("bad")).groupBy("_id").agg(F.max("bad").alias("bad"))
-    baskets = pages.join(known, pages.page_id == known["_id"]).select(F.concat(F.slice("items", 1, MAX_ITEMS), F.when(F.coalesce("bad", F.lit(False)), F.array(F.lit(BLOCK))).otherwise(F.array().cast("array<string>"))).alias("items"))
+    baskets = pages.join(known, pages.page_id == known["_id"]).select("items", F.coalesce("bad", F.lit(False)).alias("bad"), F.monotonically_increasing_id().alias("basket"))
+    baskets = saved(baskets)
+    # Items of the same baskets have the same number of them and the same sums of hashes.
+    where = [F.count("*").alias("c"), F.sum(F.xxhash64("basket").cast("decimal(38,0)")).alias("s"), F.bit_xor(F.xxhash64(F.lit("basket"), "basket")).alias("x")]
+    placed = baskets.select("basket", F.explode("items").alias("item")).groupBy("item").agg(*where).filter(F.col("c") >= F.lit(support * baskets.count()))
+    classes = saved(placed.join(placed.groupBy("c", "s", "x").agg(F.min("item").alias("class")), ["c", "s", "x"]).select("item", "class"))
+    named = baskets.select("basket", F.explode("items").alias("item")).join(classes, "item").groupBy("basket").agg(F.collect_set("class").alias("_c"))
+    none = F.array().cast("array<string>")
+    baskets = baskets.join(named, "basket", "left").select(F.concat(F.coalesce("_c", none), F.when(F.col("bad"), F.array(F.lit(BLOCK))).otherwise(none)).alias("items"))
     model = FPGrowth(itemsCol="items", minSupport=support, minConfidence=confidence).fit(baskets)
     rules = model.associationRules.filter((F.size("consequent") == 1) & (F.col("consequent")[0] == BLOCK))
     counts = model.freqItemsets.filter(F.size("items") == 1).select(F.col("items")[0].alias("item"), "freq")
-    best = rules.orderBy(F.desc("confidence"), F.desc("support"), F.size("antecedent"), F.sort_array("antecedent")).limit(MAX_RULES).select(F.sort_array("antecedent").alias("ante"), "confidence")
+    every = saved(rules.select(F.sort_array("antecedent").alias("ante"), "confidence"))
+    less = every.select("ante", "confidence", F.explode(F.transform("ante", lambda x: F.array_remove("ante", x))).alias("_less"))
+    worse = less.join(every.toDF("_less", "_sure"), "_less").filter(F.col("_sure") >= F.col("confidence")).select("ante").distinct()
+    best = every.join(worse, "ante", "left_anti")
     rarest = best.withColumn("item", F.explode("ante")).join(counts, "item").groupBy("ante", "confidence").agg(F.min_by("item", F.struct("freq", "item")).alias("item"))
-    return rarest
+    return saved(rarest), classes
 
 
 def url_verdicts(pages: DataFrame, labels: DataFrame) -> DataFrame:
     host, path = host_and_path()
     parsed = pages.select(F.col("page_id"), "url").withColumn("host", host).withColumn("path", path).withColumn("items", items()).withColumn("row", F.monotonically_increasing_id())
-    index = mine(parsed, labels)
-    # Looked up by item: a rule meets a page once, under its rarest item. Rules are MAX_RULES at most, so they are broadcast.
-    looked = parsed.withColumn("item", F.explode_outer("items")).join(F.broadcast(index), "item", "left")
-    hit = F.when(F.size(F.array_except("ante", "items")) == 0, F.col("confidence"))
-    judged = looked.groupBy("row", "page_id", "host", "path").agg(F.max(hit).alias("confidence"))
+    index, classes = mine(parsed, labels)
+    # Looked up by class: a rule meets a page once, under its rarest class. A small index is broadcast.
+    parsed = saved(parsed)
+    named = parsed.select("row", F.explode("items").alias("_i")).join(classes.withColumnRenamed("item", "_i"), "_i").groupBy("row").agg(F.collect_set("class").alias("classes"))
+    looked = named.withColumn("item", F.explode("classes")).join(index, "item").filter(F.size(F.array_except("ante", "classes")) == 0)
+    judged = parsed.select("row", "page_id", "host", "path").join(looked.groupBy("row").agg(F.max("confidence").alias("confidence")), "row", "left")
     return judged.withColumn("_r", listed()).select("page_id", "host", "path", F.col("_r.rule").alias("rule"), F.coalesce(F.col("_r.verdict"), F.when(F.col("confidence").isNotNull(), F.lit("block")).otherwise(F.lit("allow"))).alias("verdict"), "confidence")
 
 
