@@ -26,9 +26,9 @@ SECRETS = "password|passwd|pwd|secret|token|api_key|apikey"
 #: What one of these could be in is looked at closely; it is cheaper than PATTERN and never misses a mention.
 HINT = rf"[0-9@]|AKIA|[sp]k_(?:live|test)_|ghp_|(?:{TITLES})\.? \p{{Lu}}|(?i:{SECRETS})\s{{0,2}}[=:]"
 PATTERN = "|".join([
-    rf"(?<=(?i:{SECRETS})\s{{0,2}}[=:]\s{{0,2}}[\"']?)[^\s\"',;]{{5,127}}[^\s\"',;.]",
+    rf"(?<=(?i:{SECRETS})\s{{0,2}}[=:]\s{{0,2}}[\"']?)[^\s\"',;]{{5,}}[^\s\"',;.]",
     r"\bAKIA[0-9A-Z]{16}\b",
-    r"\b(?:sk|pk)_(?:live|test)_[0-9A-Za-z]{16,64}\b|\bghp_[0-9A-Za-z]{36}\b",
+    r"\b(?:sk|pk)_(?:live|test)_[0-9A-Za-z]{16,}+\b|\bghp_[0-9A-Za-z]{36}\b",
     r"[\p{L}\p{N}._%+-]{1,64}@[\p{L}\p{N}-]{1,63}(?:\.[\p{L}\p{N}-]{1,63}){0,8}\.\p{L}{2,24}",
     r"\b[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?\b",
     r"(?<![\d.])(?:\d{1,3}\.){3}\d{1,3}(?!\.?\d)",

@@ -188,6 +188,14 @@ def test_surrogates(spark):
     assert sum(sum(divmod(int(c) * (1 + i % 2), 10)) for i, c in enumerate(reversed(card))) % 10 == 0
 
 
+def test_surrogates_of_long_secrets_and_keys(spark):
+    rnd = random.Random(12)
+    token, key = ("".join(rnd.choice("abcdefghijkmnopqrstuvwxyzABCDEFGH0123456789") for _ in range(n)) for n in (300, 100))
+    got = surrogates.with_surrogates(table(spark, [(1, f"token={token}. Then sk_live_{key}, and token={'.' * 20000}")])).first()
+    assert got.n_entities == 2 and not any(s[k : k + 12] in got.text for s in (token, key) for k in range(len(s) - 11))
+    assert re.search(r"^token=[0-9A-Za-z]{300}\. Then \w{2}_\w{4}_[0-9A-Za-z]{100}, and", got.text)
+
+
 def test_surrogates_stay_distinct(spark):
     entities = spark.createDataFrame([("secret", f"{a}{b}") for a in "abc" for b in "0123456789"], "kind string, canon string")
     got = surrogates.surrogates(entities).collect()
