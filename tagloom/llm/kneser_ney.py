@@ -308,22 +308,27 @@ class Model:
 
     def answers(self, keys: np.ndarray, c: np.ndarray) -> None:
         """From now on words have these counts (keys ascending); other words have none."""
-        self.keys, self.c = np.append(keys, np.iinfo(np.int64).max), np.append(c, 0)
 
-    def _of(self, kind: int, words: np.ndarray) -> np.ndarray:
-        keys = (self.size + kind) * self.size + words
-        at = np.searchsorted(self.keys, keys)
-        return np.where(self.keys[at] == keys, self.c[at], 0)
+        def of(kind: int, words: np.ndarray) -> np.ndarray:
+            asked = (self.size + kind) * self.size + words
+            at = np.minimum(np.searchsorted(keys, asked), max(len(keys) - 1, 0))
+            return np.where(keys[at] == asked, c[at], 0) if len(keys) else np.zeros(len(words), np.int64)
+
+        kinds, words = keys // self.size - self.size, keys % self.size
+        # After the last word stands one that no text has, for words without counts.
+        self.left, self.right = (np.append(words[kinds == k], np.iinfo(np.int64).max) for k in (TOTAL, BEFORE))
+        total = of(TOTAL, self.left[:-1])
+        left_over = self.d[1] * of(ONCE, self.left[:-1]) + self.d[2] * of(TWICE, self.left[:-1]) + self.d[3] * of(OFTEN, self.left[:-1])
+        self.total, self.gamma = np.append(total, 1), np.append(left_over / np.maximum(total, 1), 1.0)
+        self.lower = np.append(self._lower(of(BEFORE, self.right[:-1])), self.rest) / self.norm
 
     def log_probabilities(self, keys: np.ndarray, c: np.ndarray) -> np.ndarray:
-        w, at_w = np.unique(keys // self.size, return_inverse=True)
-        v, at_v = np.unique(keys % self.size, return_inverse=True)
-        total = self._of(TOTAL, w)
-        left_over = self.d[1] * self._of(ONCE, w) + self.d[2] * self._of(TWICE, w) + self.d[3] * self._of(OFTEN, w)
-        gamma = np.where(total > 0, left_over / np.maximum(total, 1), 1.0)
-        lower = np.where(v == UNKNOWN, self.unknown, self._lower(self._of(BEFORE, v))) / self.norm
-        p = np.maximum(c - self.d[np.minimum(c, 3)], 0) / np.maximum(total, 1)[at_w] + gamma[at_w] * lower[at_v]
-        return np.log(np.where(v[at_v] == UNKNOWN, p / UNKNOWN_TYPES, p))
+        w, v = keys // self.size, keys % self.size
+        at, to = np.searchsorted(self.left, w), np.searchsorted(self.right, v)
+        at, to = np.where(self.left[at] == w, at, -1), np.where(self.right[to] == v, to, -1)
+        lower = np.where(v == UNKNOWN, self.unknown / self.norm, self.lower[to])
+        p = np.maximum(c - self.d[np.minimum(c, 3)], 0) / self.total[at] + self.gamma[at] * lower
+        return np.log(np.where(v == UNKNOWN, p / UNKNOWN_TYPES, p))
 
 
 def perplexities(docs: DataFrame, labels: DataFrame) -> DataFrame:
