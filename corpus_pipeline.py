@@ -15,11 +15,16 @@ from tagloom.llm.surrogates import with_surrogates
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
+def rows_of(docs: DataFrame) -> DataFrame:
+    """docs with a saved number of each row, by which a stage's verdicts find it: ids can be null or shared."""
+    return saved(docs.select(COLUMNS).withColumn("_row", F.monotonically_increasing_id()))
+
+
 def by_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier rejects go, and so do those without an id, to which no verdict belongs."""
-    judged = saved(quality_classifier(docs, table(spark, sf_dir, "labels")).select("doc_id", "kept"))
-    rejected = judged.filter("not kept and doc_id is not null").select("doc_id").distinct()
-    return only(docs.filter("doc_id is not null"), rejected, "left_anti").select(COLUMNS)
+    """Rows that the classifier rejects go."""
+    docs = rows_of(docs)
+    rejected = saved(quality_classifier(docs, table(spark, sf_dir, "labels")).filter("not kept").select("_row"))
+    return only(docs, rejected, "left_anti", "_row").select(COLUMNS)
 
 
 def by_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -28,13 +33,15 @@ def by_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def by_similarity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The smallest doc_id of each group of linked documents stays, once."""
-    groups = saved(jaccard_components(docs).select("doc_id", "component_id"))
-    others = groups.filter("component_id <> doc_id").select("doc_id").distinct()
-    kept = only(docs, others, "left_anti")
-    if groups.groupBy("doc_id").count().filter("count > 1 and doc_id is not null").limit(1).count():
-        kept = kept.filter("doc_id is null").unionByName(kept.filter("doc_id is not null").dropDuplicates(["doc_id"]))
-    return kept.select(COLUMNS)
+    """The row of the smallest doc_id of each group of linked rows stays, one of those without an id only if none has one."""
+    docs = rows_of(docs)
+    groups = jaccard_components(docs.select(F.col("_row").alias("doc_id"), "text")).select(F.col("doc_id").alias("_row"), "component_id")
+    # A row alone in its group stays; only the others' ids are looked at.
+    groups = saved(groups.join(groups.filter("component_id <> _row").select("component_id").distinct(), "component_id", "left_semi"))
+    known = groups.join(docs.select("_row", "doc_id"), "_row")
+    first = known.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "_row"))["_row"].alias("_row"))
+    others = saved(groups.select("_row").join(first.select("_row"), "_row", "left_anti"))
+    return only(docs, others, "left_anti", "_row").select(COLUMNS)
 
 
 def with_private_data_replaced(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -17,7 +17,7 @@ documents, so no number of documents switches between the two; the null language
 
 Null and empty texts have no words: perplexity null, not kept. Labels of null don't count, and an id labelled several
 times is trusted if any label says so. Without trusted text every text with words is kept. Repeated rows each give a
-row. An empty table gives no rows. Extra columns aren't read.
+row. An empty table gives no rows. Of extra columns only _row is read, and returned: the caller's number of each row.
 """
 
 from __future__ import annotations
@@ -127,7 +127,7 @@ def numbered(docs: DataFrame, words: tuple[np.ndarray, np.ndarray]) -> DataFrame
     def number(batches):
         numbers, part = _Numbers(*sent.value), TaskContext.get().partitionId()
         seen, waiting = np.empty(0, np.int64), []
-        names = ["doc_id", "lang", "p", "n", "words", "bigrams"]
+        names = ["doc_id", "lang", "_row", "p", "n", "words", "bigrams"]
         for batch in batches:
             ns, packed = [], []
             for text in batch["text"].to_pylist():
@@ -139,15 +139,16 @@ def numbered(docs: DataFrame, words: tuple[np.ndarray, np.ndarray]) -> DataFrame
             if sum(map(len, waiting)) > 2_000_000:
                 seen, waiting = np.unique(np.concatenate([seen, *waiting])), []
             k = len(ns)
-            yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["lang"], pa.array([part] * k, pa.int32()), pa.array(ns, pa.int64()), pa.array(packed, pa.binary()), pa.nulls(k, pa.binary())], names)
+            yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["lang"], batch["_row"], pa.array([part] * k, pa.int32()), pa.array(ns, pa.int64()), pa.array(packed, pa.binary()), pa.nulls(k, pa.binary())], names)
         seen = np.unique(np.concatenate([seen, *waiting]))
         left, right = np.unique(seen // size), np.unique(seen % size)
         seen = np.concatenate([seen, *[(size + k) * size + left for k in (TOTAL, ONCE, TWICE, OFTEN)], (size + BEFORE) * size + right])
         for k in range(0, len(seen), 1_000_000):
             own = seen[k : k + 1_000_000]
-            yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.nulls(1, pa.string()), pa.array([part], pa.int32()), pa.array([len(own)]), pa.nulls(1, pa.binary()), pa.array([pack(own)])], names)
+            yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.nulls(1, pa.string()), pa.nulls(1, pa.int64()), pa.array([part], pa.int32()), pa.array([len(own)]), pa.nulls(1, pa.binary()), pa.array([pack(own)])], names)
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), "text").mapInArrow(number, "doc_id long, lang string, p int, n long, words binary, bigrams binary")
+    row = F.col("_row") if "_row" in docs.columns else F.lit(None)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), row.cast("long").alias("_row"), "text").mapInArrow(number, "doc_id long, lang string, _row long, p int, n long, words binary, bigrams binary")
 
 
 def bigrams(words: np.ndarray, size: int) -> np.ndarray:
@@ -360,10 +361,10 @@ def perplexities(docs: DataFrame, labels: DataFrame) -> DataFrame:
             keys = bigrams(unsqueezed(packed, "<u4"), model.size)
             at = np.searchsorted(b, keys)
             found.append(-float(model.log_probabilities(keys, np.where(b[at] == keys, c[at], 0)).mean()) if len(keys) else None)
-        return pa.table([own["doc_id"], own["lang"], own["n"], pa.array(found, pa.float64())], ["doc_id", "lang", "n_words", "log_perplexity"])
+        return pa.table([own["doc_id"], own["lang"], own["_row"], own["n"], pa.array(found, pa.float64())], ["doc_id", "lang", "_row", "n_words", "log_perplexity"])
 
-    scored = texts.select("p", "doc_id", "lang", "n", "words").groupBy("p").cogroup(answers.groupBy("part")).applyInArrow(score, "doc_id long, lang string, n_words long, log_perplexity double")
-    return saved(scored)
+    scored = texts.select("p", "doc_id", "lang", "_row", "n", "words").groupBy("p").cogroup(answers.groupBy("part")).applyInArrow(score, "doc_id long, lang string, _row long, n_words long, log_perplexity double")
+    return saved(scored if "_row" in docs.columns else scored.drop("_row"))
 
 
 def quality_classifier(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE, margin: float = MARGIN) -> DataFrame:
@@ -378,7 +379,8 @@ def quality_classifier(docs: DataFrame, labels: DataFrame, quantile: float = QUA
     overall = known.agg(F.percentile_approx("_drawn", quantile, 10_000)).first()[0]
     shrunk = F.expr(f"_own * _n / (_n + {PRIOR_TRUSTED})") + F.lit(overall).cast("double") * F.expr(f"{PRIOR_TRUSTED} / (_n + {PRIOR_TRUSTED})")
     judged = drawn.join(F.broadcast(by_lang), "lang", "left").withColumn("threshold", F.coalesce(shrunk, F.lit(overall).cast("double")) + margin)
-    return judged.select("doc_id", "lang", "n_words", "log_perplexity", "threshold", F.expr("n_words > 0 and coalesce(_drawn <= threshold, true)").alias("kept"))
+    row = [c for c in judged.columns if c == "_row"]
+    return judged.select(*row, "doc_id", "lang", "n_words", "log_perplexity", "threshold", F.expr("n_words > 0 and coalesce(_drawn <= threshold, true)").alias("kept"))
 
 
 def op2_quality_classifier(spark, sf_dir: str) -> DataFrame:

@@ -308,3 +308,23 @@ def test_pipeline_stages(spark):
     assert {r.doc_id for r in got.select("doc_id").collect()} == before
     assert got.groupBy("sequence_id").agg(F.sum("length").alias("n")).filter("n > 4096").count() == 0
     assert spark.read.parquet(f"{DATA}/labels.parquet").filter("quality = 1").count() > 0
+
+
+def test_pipeline_judges_rows_without_or_with_shared_ids(spark, monkeypatch):
+    import corpus_pipeline as P
+
+    rnd = random.Random(11)
+    words = ["".join(rnd.choice("abcdefgh") for _ in range(4)) for _ in range(150)]
+    clean = [prose(rnd, words) for _ in range(120)]
+    bad = prose(rnd, words).upper().replace(" ", "!! ")
+    rows = [(i, t) for i, t in enumerate(clean[:100])] + [(None, clean[100]), (None, bad), (700, clean[101]), (700, bad), (5, clean[5])]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    labels = spark.createDataFrame([(i, 1, None) for i in range(100)], "doc_id long, quality int, toxic int")
+    monkeypatch.setattr(P, "table", lambda *a: labels)
+    # Of each id and text, what the classifier says of it stands, however many rows share the id.
+    kept = {(r.doc_id, r.text) for r in P.by_classifier(spark, docs, "").collect()}
+    assert {(None, clean[100]), (700, clean[101])} <= kept and not {(None, bad), (700, bad)} & kept
+    near = [(None, clean[0]), (9, clean[0]), (4, clean[0]), (8, clean[1]), (8, clean[2]), (None, clean[3]), (None, clean[3]), (None, clean[4])]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in near], docs.schema)
+    got = sorted(((r.doc_id or 0, clean.index(r.text)) for r in P.by_similarity(spark, docs, "").collect()))
+    assert got == [(0, 3), (0, 4), (4, 0), (8, 1), (8, 2)]
