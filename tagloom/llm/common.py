@@ -4,6 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
+from contextvars import ContextVar
+from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -20,17 +23,45 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder; a local one only where the session names none, as in tests."""
-    return spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.gettempdir() + "/tagloom-shared"
+    """The cluster's shared folder; a local one only for a local session that names none, as in tests."""
+    if named := spark.conf.get("spark.checkpoint.dir", None):
+        return named
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+    return "file://" + tempfile.gettempdir() + "/tagloom-shared"
 
 
-def saved(df: DataFrame, *by: str) -> DataFrame:
+_passing: ContextVar[list[str] | None] = ContextVar("passing", default=None)
+
+
+def saved(df: DataFrame) -> DataFrame:
     """The same rows, written to the shared folder and read back: lineage ends there, and lost executors cost nothing."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tagloom-{uuid.uuid4().hex}"
-    writer = df.write.option("compression", "zstd")
-    (writer.partitionBy(*by) if by else writer).parquet(path)
-    return spark.read.schema(df.schema).parquet(path) if not by else spark.read.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
+    if (passing := _passing.get()) is not None:
+        passing.append(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def concluded(make: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
+    """`make` with its result saved, and what else it saved removed once that is done (or has failed)."""
+
+    @wraps(make)
+    def call(df: DataFrame, *more, **named) -> DataFrame:
+        spark, outer, own = df.sparkSession, _passing.get(), []
+        _passing.set(own)
+        try:
+            result = make(df, *more, **named)
+            _passing.set(outer)
+            return saved(result)
+        finally:
+            _passing.set(outer)
+            for path in own:
+                folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+                folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+
+    return call
 
 
 def words_of(text: str) -> str:

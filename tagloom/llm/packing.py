@@ -6,8 +6,9 @@ about `shard_rows` rows, and each shard is packed alone: a piece goes where the
 sequences per residual gap becomes smallest, among open sequences with room and a new one. So no task holds more
 than a shard, however many documents there are, and a shard leaves open a few sequences at most.
 
-Null texts are empty (one id, the end). Repeated rows and ids are packed as separate documents. An empty table
-gives no rows. Ties go to the smallest gap, and within a gap to the sequence opened last.
+Null texts are empty (one id, the end). Repeated rows and ids are packed as separate documents, and so are rows
+without an id. An empty table gives no rows. Very long texts are cut like others. Columns other than doc_id and text
+aren't read. Ties go to the smallest gap, and within a gap to the sequence opened last.
 """
 
 from __future__ import annotations
@@ -15,7 +16,6 @@ from __future__ import annotations
 import zlib
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -84,12 +84,12 @@ def best_fit_packing(docs: DataFrame, capacity: int = CAPACITY, shard_rows: int
     rest = cut.filter(F.col("length") < capacity)
     shards = max(1, -(-rest.count() // shard_rows))
 
-    def pack(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["length", "doc_id", "piece"], ascending=[False, True, True], kind="stable")
-        where, offset = sum_of_squares(pdf["length"].to_numpy(), capacity)
-        return pdf.drop(columns="shard").assign(sequence_id=(int(key[0]) << 32) + where, offset=offset)
+    def pack(key: tuple, rows: pa.Table) -> pa.Table:
+        rows = rows.drop_columns("shard").sort_by([("length", "descending"), ("doc_id", "ascending"), ("piece", "ascending")])
+        where, offset = sum_of_squares(rows["length"].to_numpy(), capacity)
+        return rows.append_column("sequence_id", pa.array((key[0].as_py() << 32) + where)).append_column("offset", pa.array(offset))
 
-    packed = rest.withColumn("shard", F.pmod(F.monotonically_increasing_id(), F.lit(shards))).groupBy("shard").applyInPandas(pack, PIECES + ", sequence_id long, offset long")
+    packed = rest.withColumn("shard", F.pmod(F.monotonically_increasing_id(), F.lit(shards))).groupBy("shard").applyInArrow(pack, PIECES + ", sequence_id long, offset long")
     return whole.unionByName(packed)
 
 

@@ -89,6 +89,14 @@ def test_packing_places_every_piece_without_gaps(docs):
         assert (g.offset.to_numpy() == np.cumsum(g.length) - g.length).all() and g.length.sum() <= 512
 
 
+def test_packing_keeps_large_ids_beside_missing_ones(spark):
+    ids = [2**53 + 1, 2**60 + 1, None, 7, 7]
+    docs = spark.createDataFrame([(i, "the of", "clash", 9) for i in ids], "doc_id long, text string, sequence_id string, shard int")
+    got = packing.best_fit_packing(docs).collect()
+    assert sorted(r.doc_id or 0 for r in got) == sorted(i or 0 for i in ids)
+    assert sorted(r.offset for r in got) == [0, 3, 6, 9, 12] and len({r.sequence_id for r in got}) == 1
+
+
 def test_sum_of_squares_takes_the_least_change():
     rnd = random.Random(1)
     sizes = np.array([rnd.randint(1, 20) for _ in range(200)])
