@@ -9,7 +9,7 @@ from tagloom.llm.common import only, saved, table
 from tagloom.llm.kneser_ney import quality_classifier
 from tagloom.llm.packing import best_fit_packing
 from tagloom.llm.quality_rules import passing
-from tagloom.llm.setjoin import jaccard_components
+from tagloom.llm.setjoin import jaccard_links
 from tagloom.llm.surrogates import with_surrogates
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -35,7 +35,7 @@ def by_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def by_similarity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The row of the smallest doc_id of each group of linked rows stays, one of those without an id only if none has one."""
     docs = rows_of(docs)
-    groups = jaccard_components(docs.select(F.col("_row").alias("doc_id"), "text")).select(F.col("doc_id").alias("_row"), "component_id")
+    groups = jaccard_links(docs.select(F.col("_row").alias("doc_id"), "text")).select(F.col("doc_id").alias("_row"), "component_id")
     # A row alone in its group stays; only the others' ids are looked at.
     groups = saved(groups.join(groups.filter("component_id <> _row").select("component_id").distinct(), "component_id", "left_semi"))
     known = groups.join(docs.select("_row", "doc_id"), "_row")

@@ -203,63 +203,110 @@ def test_surrogates_stay_distinct(spark):
     assert not {r.sur for r in got} & {r.canon for r in got}
 
 
-def brute_components(texts):
+def brute_links(texts):
+    """doc_id -> (set size, component, numbers of links of its rows), by comparing every pair of rows."""
     def shingles(t):
         w = re.sub("[A-Z]", lambda m: m[0].lower(), t or "")
         w = [x for x in re.split(r"[\x20\x09-\x0D]+", w) if x]
         return {tuple(w)} if 0 < len(w) < 5 else {tuple(w[i : i + 5]) for i in range(len(w) - 4)}
 
-    sets = {i: shingles(t) for i, t in texts}
-    root = {i: i for i in sets}
+    rows = [(i, shingles(t)) for i, t in texts]
+    root, links = {i: i for i, _ in rows}, [0] * len(rows)
 
     def find(i):
         while root[i] != i:
             i = root[i]
         return i
 
-    ids = sorted(sets)
-    for k, a in enumerate(ids):
-        for b in ids[k + 1 :]:
-            common = len(sets[a] & sets[b])
-            if common and 100 * common >= 75 * len(sets[a] | sets[b]):
-                x, y = find(a), find(b)
-                root[max(x, y)] = min(x, y)
-    return {i: (len(sets[i]), find(i)) for i in ids}
+    for x, (a, s) in enumerate(rows):
+        for y in range(x):
+            b, t = rows[y]
+            common = len(s & t)
+            if common and 100 * common >= 75 * len(s | t):
+                links[x] += 1
+                links[y] += 1
+                low, high = sorted((find(a), find(b)))
+                root[high] = low
+    return sorted((i, len(s), find(i), n) for (i, s), n in zip(rows, links, strict=True))
 
 
-@pytest.mark.parametrize("least", [3, setjoin.FREQUENT])
-def test_set_join_is_brute_force(spark, monkeypatch, least):
-    rnd = random.Random(8)
+def linked_rows(df):
+    return sorted((r.doc_id, r.n_shingles, r.component_id, r.n_links) for r in df.collect())
+
+
+def families(rnd, counts, sizes):
+    """Texts in families of near copies, some of which share a passage."""
     words = ["".join(rnd.choice("abcdefgh") for _ in range(4)) for _ in range(400)]
     passage = [rnd.choice(words) for _ in range(40)]
-    texts = []
     for f in range(12):
-        base = [rnd.choice(words) for _ in range(rnd.choice([30, 80, 150]))] + (passage if f % 2 else [])
-        for _ in range(rnd.choice([1, 3, 30])):
+        base = [rnd.choice(words) for _ in range(rnd.choice(sizes))] + (passage if f % 2 else [])
+        for _ in range(rnd.choice(counts)):
             t = list(base)
             for _ in range(rnd.randint(0, max(1, len(t) // 18))):
                 t[rnd.randrange(len(t))] = rnd.choice(words)
-            texts.append(" ".join(t))
-    texts += [None, "", "  ", "one two", "ONE two", "one two three four", "One Two Three four"]
-    texts = list(enumerate(texts)) + [(0, texts[0])]
-    frequent, family_pairs = setjoin.frequent, setjoin.family_pairs
-    monkeypatch.setattr(setjoin, "frequent", lambda d: frequent(d, least))
-    # With few frequent shingles asked for, families are cut into small blocks as well.
-    monkeypatch.setattr(setjoin, "family_pairs", lambda d: family_pairs(d, 4 if least == 3 else setjoin.BLOCK))
-    got = setjoin.jaccard_components(table(spark, texts)).collect()
-    want = brute_components(dict(texts).items())
-    assert len(got) == len(texts)
-    assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == want
+            yield " ".join(t)
 
 
-def test_shared_entries_of_long_sets_are_counted_past_16_bits():
+@pytest.mark.parametrize(("seed", "frequent", "long", "block"), [(8, 24, 24, 1024), (9, 3, 2, 4), (10, 10**9, 2, 8)])
+def test_set_join_is_brute_force(spark, monkeypatch, seed, frequent, long, block):
+    """With few entries to a list and few sets to a block, all lists are long and cut into blocks; without frequent shingles as well."""
+    texts = list(families(random.Random(seed), [1, 3, 30], [30, 80, 150]))
+    texts += [None, "", "  ", "one two", "ONE two", "one two three four", "One Two Three four"]
+    texts = list(enumerate(texts)) + [(0, texts[0]), (1, texts[-1])]
+    tied, long_lists, answers, few_of = setjoin.tied, setjoin.long_lists, setjoin.answers, setjoin.frequent
+    monkeypatch.setattr(setjoin, "frequent", lambda s: few_of(s, frequent))
+    monkeypatch.setattr(setjoin, "tied", lambda d: tied(d, long))
+    monkeypatch.setattr(setjoin, "long_lists", lambda d: long_lists(d, block))
+    monkeypatch.setattr(setjoin, "answers", lambda a, b: answers(a, b, block))
+    if seed == 9:
+        monkeypatch.setattr(setjoin, "BROADCAST_ROWS", 0)
+    assert linked_rows(setjoin.jaccard_links(table(spark, texts))) == brute_links(texts)
+
+
+def test_set_join_of_a_shingle_in_every_document(spark):
+    """A line of all documents, spread one to a partition, so that no chunk holds it twice: its list is long, and pairs nothing."""
+    rnd = random.Random(21)
+    line = "all of these texts hold this very line of words"
+    texts = [(i, line + " " + " ".join("".join(rnd.choice("abcdefgh") for _ in range(6)) for _ in range(12 + i % 5))) for i in range(60)]
+    texts += [(100 + i, line + f" x{i % 2}") for i in range(6)]
+    docs = spark.createDataFrame(spark.sparkContext.parallelize(texts, 66), "doc_id long, text string")
+    assert len(setjoin.frequent(setjoin.shingled(docs), chunk=0)) == 0
+    assert linked_rows(setjoin.jaccard_links(docs)) == brute_links(texts)
+
+
+def test_pairs_of_a_large_family_are_counted_and_not_listed(spark, monkeypatch):
+    rnd = random.Random(22)
+    words = [f"w{i}" for i in range(60)]
+    texts = [(i, " ".join(w if rnd.random() > 0.004 else f"v{rnd.randrange(99)}" for w in words)) for i in range(400)]
+    made = []
+    differences = setjoin.differences
+
+    def counted(sets, pairs):
+        made.append(pairs.count())
+        return differences(sets, pairs)
+
+    monkeypatch.setattr(setjoin, "differences", counted)
+    assert linked_rows(setjoin.jaccard_links(table(spark, texts))) == brute_links(texts)
+    assert sum(made) < 5 * len(texts)
+
+
+def test_shared_entries_of_long_sets_are_counted_past_16_bits(spark):
     n = 70_000
-    a, b, c = setjoin.shared_entries(np.repeat([0, 1], n), np.tile(np.arange(n), 2), np.zeros(2, int), np.array([5, 6]), True)
-    assert (a.tolist(), b.tolist(), c.tolist()) == ([0], [1], [n])
+    assert setjoin.shared_entries(np.zeros(n, int), np.zeros(n, int), np.arange(n), np.arange(n), 1, 1).tolist() == [[n]]
+    words = [f"w{i}" for i in range(n)]
+    long = [(1, " ".join(words)), (2, " ".join(words[:-5000])), (3, " ".join(words[20_000:])), (None, " ".join(words))]
+    got = {r.doc_id: (r.n_shingles, r.component_id, r.n_links) for r in setjoin.jaccard_links(table(spark, long)).collect()}
+    assert got == {1: (n - 4, 1, 1), 2: (n - 5004, 1, 1), 3: (n - 20_004, 3, 0), None: (n - 4, None, 0)}
 
 
 def test_set_join_of_nothing(spark):
-    assert setjoin.jaccard_components(table(spark, [(1, "a")]).limit(0)).count() == 0
+    assert setjoin.jaccard_links(table(spark, [(1, "a")]).limit(0)).count() == 0
+    assert linked_rows(setjoin.jaccard_links(table(spark, [(1, "a"), (2, None)]))) == [(1, 1, 1, 0), (2, 0, 2, 0)]
+
+
+def test_rows_that_share_an_id_are_one_document(spark):
+    rows = [(5, "a b c d e f"), (5, "k l m n o p"), (3, "K l m n o P"), (9, "a b c d e f")]
+    assert linked_rows(setjoin.jaccard_links(table(spark, rows))) == [(3, 2, 3, 1), (5, 2, 3, 1), (5, 2, 3, 1), (9, 2, 3, 1)]
 
 
 def test_components(spark):
