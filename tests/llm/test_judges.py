@@ -196,11 +196,29 @@ def test_surrogates_of_long_secrets_and_keys(spark):
     assert re.search(r"^token=[0-9A-Za-z]{300}\. Then \w{2}_\w{4}_[0-9A-Za-z]{100}, and", got.text)
 
 
-def test_surrogates_stay_distinct(spark):
-    entities = spark.createDataFrame([("secret", f"{a}{b}") for a in "abc" for b in "0123456789"], "kind string, canon string")
-    got = surrogates.surrogates(entities).collect()
-    assert len({r.sur for r in got}) == len(got) == 30
-    assert not {r.sur for r in got} & {r.canon for r in got}
+def test_surrogates_are_one_to_one_whatever_the_format(spark):
+    """Against brute force: all surrogates of a kind differ, from each other and from every entity; short names don't run out."""
+    rnd = random.Random(13)
+    rows = [("secret", f"{a}{b}") for a in "abc" for b in "0123456789"] + [("name", a + b) for a in "BCDFGHJKLM" for b in "aei"]
+    rows += [("hex", "".join(rnd.choice("0123456789abcdef") for _ in range(3))) for _ in range(40)] + [("ip", f"10.0.0.{k}") for k in range(20)]
+    rows += [("email", f"{c}@x.org") for c in "abcdefghij"] + [("secret", "密码密码密码"), ("secret", "пароль"), ("secret", "ሀለሐመሠረ")]
+    got = surrogates.surrogates(spark.createDataFrame(rows, "kind string, canon string"), "k").collect()
+    assert {(r.kind, r.canon) for r in got} == set(rows) and len({(r.kind, r.sur) for r in got}) == len(got)
+    assert not {(r.kind, r.sur) for r in got} & set(rows)
+    assert re.fullmatch(r"[\u4e00-\u9fff]{6}", next(r.sur for r in got if r.canon == "密码密码密码"))
+
+
+def test_surrogates_leave_stars_and_follow_names(spark):
+    texts = ["password=******** and token=密码密码密码密码", "Mrs Anna Schmidt came. Later Anna Schmidt and Mrs Schmidt left, with Mr O'Brien.", None, "", "plain", "x " * 200_000 + "bob@example.com"]
+    docs = spark.createDataFrame([(i, t, 7) for i, t in enumerate(texts)], "doc_id long, text string, n_entities int")
+    got = {r.doc_id: r for r in surrogates.with_surrogates(docs, "k").collect()}
+    assert got[0].text.startswith("password=******** and token=") and "密" not in got[0].text and [got[i].n_entities for i in range(6)] == [2, 3, 0, 0, 0, 1]
+    m = re.fullmatch(r"Mrs (\w+) (\w+) came\. Later \1 \2 and Mrs \2 left, with Mr (\w'\w+)\.", got[1].text)
+    assert m and m[1][-1] == "a" and not {"Anna", "Schmidt", "O'Brien"} & set(m.groups())
+    assert len(got[5].text) == len(texts[5]) and "bob@" not in got[5].text
+    again = {r.doc_id: r.text for r in surrogates.with_surrogates(docs, "k").collect()}
+    assert again == {i: r.text for i, r in got.items()}
+    assert surrogates.with_surrogates(docs.limit(0)).count() == 0 and docs.columns == surrogates.with_surrogates(docs.limit(0)).columns
 
 
 def brute_links(texts):
