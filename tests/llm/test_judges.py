@@ -144,7 +144,7 @@ def test_url_verdicts(spark):
     urls = ["http://A.Example.NET/en/x", "https://b.net", "https://b.net/", "http://example.com/de/1", "http://shop.example.com/de", "http://x.org/fr/?q=http://a", None, "no scheme", "a://?x", "x://HOST#f", "http://notexample.net/en/1", "", "http://É.org/ü?a"]
     pages = spark.createDataFrame([(i, u, "h", "clash") for i, u in enumerate(urls)], "page_id long, url string, html string, host string")
     labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
-    got = {r.page_id: (r.host, r.path, r.rule, r.verdict) for r in url_rules.url_verdicts(pages.drop("host"), labels).collect()}
+    got = {r.page_id: (r.host, r.path, r.rule, r.verdict) for r in url_rules.url_verdicts(pages, labels).collect()}
     assert got[0] == ("a.example.net", "/en/x", "example.net/en/", "allow") and got[1] == ("b.net", "", None, "allow") and got[2] == ("b.net", "/", "net/", "block")
     assert got[3][2:] == ("example.com/de/", "block") and got[4][2:] == (None, "allow") and got[5][:3] == ("x.org", "/fr/", "org/fr/")
     assert got[6] == got[7] == ("", "", None, "allow") and got[8][:2] == ("", "") and got[9][:2] == ("host", "") and got[10][2:] == ("net/", "block") and got[12][:2] == ("É.org", "/ü")
@@ -162,6 +162,31 @@ def test_url_rules_are_the_brute_force_ones(spark):
             assert got[i] == ("block" if "cheap-pills" in u else "allow"), u
 
 
+def test_url_rules_are_the_enumerated_itemsets(spark):
+    """Against every subset of every page's items: the confidence of the surest rule that fits each page."""
+    from itertools import combinations
+
+    rnd = random.Random(17)
+    pick = lambda *words: rnd.choice(words)
+    urls = [(i % 290, f"http://{pick('cheap', 'good', 'free')}-{pick('pills', 'news', 'bets')}.example.com/{pick('en', 'fr', 'xx')}/{pick('buy', 'read')}?{pick('id', 'ref')}=1") for i in range(300)]
+    bad = {i for i, u in urls if "pills" in u and rnd.random() < 0.7 or "bets" in u and "xx" in u or rnd.random() < 0.1}
+    pages = spark.createDataFrame([(i, u, "clash", "clash") for i, u in urls], "page_id long, url string, items string, confidence string")
+    labels = spark.createDataFrame([(i, 1 - int(i in bad), None) for i, _ in urls if i < 250], "doc_id long, quality int, toxic int")
+    sets = [(i, frozenset(re.findall(r"[a-z]+", u.split("//")[1].replace("=1", "")))) for i, u in urls]
+    learnt = [(i in bad, s) for i, s in sets if i < 250]
+    n_bad = sum(b for b, _ in learnt)
+    every = {frozenset(c) for b, s in learnt if b for k in range(1, len(s) + 1) for c in combinations(sorted(s), k)}
+    sure = {}
+    for c in every:
+        hits = [b for b, s in learnt if c <= s]
+        if sum(hits) >= max(5, 0.002 * len(learnt)) and sum(hits) / len(hits) >= max(0.6, n_bad / len(learnt) + 1e-9):
+            sure[c] = sum(hits) / len(hits)
+    got = url_rules.url_verdicts(pages, labels).collect()
+    want = sorted((i, max((v for c, v in sure.items() if c <= s), default=0.0)) for i, s in sets)
+    assert len(sure) > 10 and np.allclose(sorted((r.page_id, r.confidence or 0.0) for r in got), want)
+    assert url_rules.url_verdicts(pages.limit(0), labels).count() == 0 and len(got) == 300
+
+
 def test_url_rules_use_all_items_of_long_urls(spark):
     keys = [chr(97 + k // 26) + chr(97 + k % 26) for k in range(40)]
     long = "http://shop.example.org/x?" + "&".join(f"{k}=1" for k in keys)
