@@ -1,15 +1,20 @@
 """Toxicity by nearest labelled examples: exact TF-IDF cosine over a block-max inverted index.
 
-Training uses labelled rows alone, EXAMPLES per class at most, the first in the order of a hash of their ids.
-Terms are words and beginnings of words; those LIFT times as frequent in one class as in the other
-are kept, the best by chi-square, VOCABULARY at most. A text's K nearest examples vote with the square of their cosine; votes are calibrated by isotonic regression
-on about CALIBRATED of the examples, each judged by the others. Labels, lang, source and doc_id are no inputs of a score.
-
-The index is broadcast: its size is bounded by EXAMPLES and VOCABULARY and doesn't grow with the input.
-
-Null and empty texts, and texts without a known term, have no neighbours and get the calibrated score of such
-examples. Ties in cosine go to the smaller example number. Labels of null count for nothing; several labels of an
-id count as several examples. Without any labels each text scores 0.
+Training uses labelled rows alone, EXAMPLES per class at most, the first in the order of a hash of their ids. Terms
+are words and beginnings of words; the model's terms are all that separate the classes: LIFT times as frequent in one
+as in the other, with a chi-square above LEAST_CHI. The cosine is exact over these; over every term of the examples it
+would cost several times what a document may (README). A text's K nearest examples vote with the square of their
+cosine; votes are calibrated by isotonic regression on about CALIBRATED of the examples, each judged by the others.
+Labels, lang, source and doc_id are no inputs of a score, so a text that was learned from, or a copy of it, meets its
+own example among its neighbours: only held-out rows say how good the scores are.
+
+The index is broadcast: its size is bounded by the terms of EXAMPLES per class and doesn't grow with the input.
+
+Null and empty texts, and texts without a term of the model, have no neighbours and get the calibrated score of such
+examples. Ties in cosine go to the smaller example number, that is to the smaller doc_id. Labels of null count for
+nothing; several labels of an id count as several examples. Repeated rows each give a row, and of documents to learn
+from each is an example. Very long texts are scored whole. Without any labels each text scores 0. An empty table
+gives no rows. Columns other than doc_id and text aren't read.
 """
 
 from __future__ import annotations
@@ -26,7 +31,7 @@ from pyspark.sql import functions as F
 from tagloom.llm.common import table
 from tagloom.llm.word_ids import Memo
 
-EXAMPLES, VOCABULARY, SUPPORT, LIFT, K, BLOCK, PRIOR_WEIGHT, CALIBRATED = 6000, 2048, 4, 4, 16, 64, 0.25, 3000
+EXAMPLES, SUPPORT, LIFT, LEAST_CHI, K, BLOCK, PRIOR_WEIGHT, CALIBRATED = 6000, 4, 4, 10.8, 16, 64, 0.25, 3000
 _WORD = re.compile(r"[^\W\d_]+")
 
 
@@ -147,10 +152,10 @@ def training(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES) -> Da
     for y in (0, 1):
         some = usable.filter(F.col("y") == y).orderBy(F.xxhash64("_id"), "_id").limit(examples)
         picked = some if picked is None else picked.unionByName(some)
-    return docs.join(F.broadcast(picked), docs.doc_id == picked["_id"]).select(docs.doc_id.cast("long").alias("doc_id"), "text", "y")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(picked), F.col("doc_id") == F.col("_id")).select("doc_id", "text", "y")
 
 
-def fit(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES) -> Index | None:
+def fit(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES, least_chi: float = LEAST_CHI, lift: float = LIFT) -> Index | None:
     rows = training(docs, labels, examples).persist()
     n = {r["y"]: r["n"] for r in rows.groupBy("y").agg(F.count("*").alias("n")).collect()}
     if not n:
@@ -174,7 +179,7 @@ def fit(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES) -> Index |
     # chi-square of a term and the label, from the numbers of examples of each class that have it.
     counted = rows.select("text", "y").mapInArrow(distinct, "term string, y int, n long").groupBy("term").agg(F.sum(F.expr("n * y")).alias("b"), F.sum(F.expr("n * (1 - y)")).alias("a")).filter(f"a + b >= {SUPPORT}")
     share = F.expr(f"({n0 + n1}D * power(b * {n0}D - a * {n1}D, 2)) / greatest((a + b) * {n0}D * {n1}D * greatest({n0 + n1}D - a - b, 1), 1)")
-    terms = counted.withColumn("x", share).filter(f"x > 10.8 and (b * {n0}D >= {LIFT} * a * {n1}D or a * {n1}D >= {LIFT} * b * {n0}D)").orderBy(F.desc("x"), "term").limit(VOCABULARY).collect()
+    terms = counted.withColumn("x", share).filter(f"x > {least_chi} and (b * {n0}D >= {lift} * a * {n1}D or a * {n1}D >= {lift} * b * {n0}D)").orderBy("term").collect()
     ids = {r["term"]: i for i, r in enumerate(terms)}
     idf = np.array([math.log((1 + n0 + n1) / (1 + r["a"] + r["b"])) + 1 for r in terms])
 

@@ -124,8 +124,14 @@ def test_toxicity_nearest_is_exact():
     for i in range(100):
         t, w = index.vector(ex[i][0])
         s = full[:, t] @ w if len(t) else np.zeros(500)
-        _, got = index.nearest(ex[i][0])
+        numbers, got = index.nearest(ex[i][0])
         assert np.allclose(got, np.sort(s[s > 0])[::-1][: len(got)]) and len(got) == min(toxicity.K, (s > 0).sum())
+        assert np.allclose(s[numbers], got)
+        # Of equal cosines the smaller numbers come first, and none is left out for a larger one.
+        order = sorted(zip(-got.round(9), numbers.tolist(), strict=True))
+        assert [x for _, x in order] == numbers.tolist()
+    same = toxicity.Index({"a": 0}, np.ones(1), [({0: 1}, 0)] * 200, list(range(200)))
+    assert same.nearest({0: 5})[0].tolist() == list(range(toxicity.K))
 
 
 def test_toxicity_on_held_out_rows(spark):
@@ -138,6 +144,11 @@ def test_toxicity_on_held_out_rows(spark):
     assert all(r.predicted == int(r.doc_id % 4 == 0) for r in got if r.held_out and r.doc_id < 400)
     assert all(not r.predicted for r in got if r.doc_id >= 9000)
     assert all(r.score == 0 for r in toxicity.toxicity(table(spark, rows[:3]), labels.limit(0)).collect())
+    clash = table(spark, [*rows, (9000, "rottenish fool " * 50_000)]).withColumn("y", F.lit("clash")).withColumn("_id", F.lit(1)).withColumn("score", F.lit("x")).withColumn("toxic", F.lit(0))
+    again = {r.doc_id: r.score for r in toxicity.toxicity(clash, labels).collect()}
+    # The repeated row above is one example more.
+    assert again.pop(9000) > 0.9 and again == pytest.approx({r.doc_id: r.score for r in got if r.doc_id < 400}, abs=1e-4)
+    assert toxicity.toxicity(clash.limit(0), labels).count() == 0
 
 
 def test_url_verdicts(spark):
