@@ -65,18 +65,24 @@ def as_json(*columns: str) -> Column:
     return F.to_json(F.struct(*columns), {"ignoreNullFields": "false"})
 
 
-def audit(feed: DataFrame, table: str, key: Sequence[str], order: Sequence[str], op: str, old: Column, new: Column, on: Sequence[str] = (INSERT, UPDATE, DELETE)) -> DataFrame:
-    """A log row per change: old data null for inserts, new data null for deletes."""
+def audit(feed: DataFrame, table: str, key: Sequence[str], order: Sequence[str], op: str, old: Column, new: Column, on: Sequence[str] = (INSERT, UPDATE, DELETE), seq: bool = False) -> DataFrame:
+    """A log row per change: old data null for inserts, new data null for deletes; with seq, the place among changes at one time."""
     out = feed.withColumn("_old", old).filter(F.col(op).isin(list(on)))
     return out.select(
         F.lit(table).alias("table_name"), F.col(op).alias("operation"), *key,
-        F.when(F.col(op) != INSERT, F.col("_old")).alias("old_data"), F.when(F.col(op) != DELETE, new).alias("new_data"), F.col(order[0]).alias("changed_at"),
+        F.when(F.col(op) != INSERT, F.col("_old")).alias("old_data"), F.when(F.col(op) != DELETE, new).alias("new_data"), F.col(order[0]).alias("changed_at"), *([F.col(order[-1]).alias("seq")] if seq else []),
     )
 
 
 def replay(log: DataFrame, key: Sequence[str]) -> DataFrame:
-    """The rows that an audit log leaves: each key's last new data, without deleted keys."""
-    last = log.groupBy(*key).agg(F.max_by(F.struct("operation", "new_data"), "changed_at").alias("_last"))
+    """The rows that an audit log leaves: each key's last new data, without deleted keys.
+
+    Of changes at one time, the order of `seq` tells the last one where the log has it, else a delete counts as the
+    last, and then the greatest data: always the same.
+    """
+    by = ["changed_at", "seq"] if "seq" in log.columns else ["changed_at"]
+    rank = F.struct(*by, (F.col("operation") == DELETE).alias("_d"), F.col("new_data").alias("_n"))
+    last = log.groupBy(*key).agg(F.max_by(F.struct("operation", "new_data"), rank).alias("_last"))
     return last.filter(F.col("_last.operation") != DELETE).select(*key, F.col("_last.new_data").alias("data"))
 
 

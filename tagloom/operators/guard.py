@@ -90,9 +90,10 @@ def report(df: DataFrame, rules: dict[str, Column]) -> DataFrame:
     return counts.select(F.explode(F.array(*[F.struct(F.lit(name).alias("rule"), F.col(name).alias("violations")) for name in rules])).alias("r")).select("r.rule", "r.violations")
 
 
-def duplicates(df: DataFrame, key: Sequence[str], where: Column | str | None = None) -> DataFrame:
-    """Keys that more than one row has, of the rows where a partial index holds."""
+def duplicates(df: DataFrame, key: Sequence[str], where: Column | str | None = None, primary: bool = False) -> DataFrame:
+    """Keys that more than one row has, of the rows where a partial index holds; nulls are equal in a primary key only."""
     rows = df.filter(where) if where is not None else df
+    rows = rows if primary else rows.dropna(subset=list(key))
     return rows.groupBy(*key).agg(F.count("*").alias("n")).filter("n > 1")
 
 

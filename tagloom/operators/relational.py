@@ -71,3 +71,30 @@ def friends(df: DataFrame, key: str, name: str, offsets: Sequence[int]) -> DataF
     """Rows whose key is another's plus an offset: the offsets are exploded into an equi-join."""
     wanted = df.select(key, F.explode(F.array(*[F.col(key) + o for o in offsets])).alias("_k"))
     return wanted.join(df.select(F.col(key).alias("_f"), name), F.col("_k") == F.col("_f")).select(key, name)
+
+
+def not_in(df: DataFrame, column: str, keys: DataFrame) -> DataFrame:
+    """Rows whose value is in none of keys, as SQL's NOT IN: of any null among keys none, and a null only if there are no keys.
+
+    An anti-join, beside which at most one row each tells whether there is a null and whether there is a key at all.
+    """
+    key = keys.columns[0]
+    some, null = keys.limit(1).select(F.lit(True).alias("_some")), keys.filter(F.col(key).isNull()).limit(1).select(F.lit(True).alias("_null"))
+    kept = df.join(F.broadcast(null), F.lit(True), "left_anti").join(keys.withColumnRenamed(key, "_key"), F.col(column) == F.col("_key"), "left_anti")
+    return kept.filter(F.col(column).isNotNull()).unionByName(kept.filter(F.col(column).isNull()).join(F.broadcast(some), F.lit(True), "left_anti"))
+
+
+def if_given(df: DataFrame, column: str, value) -> DataFrame:
+    """Rows with a value, all rows if none is given: the plan has no predicate then."""
+    return df if value is None else df.filter(F.col(column) == value)
+
+
+def version_key(column: str) -> Column:
+    """What versions sort by: their numbers, one after the other."""
+    return F.transform(F.split(column, r"\."), lambda x: x.cast("long"))
+
+
+def by_setting(df: DataFrame, column: str, setting: str) -> DataFrame:
+    """Rows whose column equals a setting of the session, none if it isn't set."""
+    value = df.sparkSession.conf.get(setting, None)
+    return df.filter(F.lit(False)) if value is None else df.filter(F.col(column) == value)

@@ -7,7 +7,7 @@ SQL: dict[str, str] = {
     "anon_partial": "SELECT c_custkey, left(c_name,2)||'***'||right(c_name,2) AS c_name FROM customer",
     "anti_left_null": "SELECT c.c_custkey FROM customer c LEFT JOIN orders o ON o.o_custkey=c.c_custkey AND o.o_orderstatus='P' WHERE o.o_orderkey IS NULL",
     "arith_join": "SELECT n.n_nationkey, r.r_name FROM nation n JOIN region r ON n.n_nationkey=r.r_regionkey+10",
-    "array_agg_rows": "SELECT n_regionkey, array_to_string(list_sort(list(n_name)),',') AS names FROM nation GROUP BY n_regionkey",
+    "array_agg_rows": "SELECT n_regionkey, CAST(to_json(list({'n_nationkey': n_nationkey, 'n_name': n_name} ORDER BY n_nationkey)) AS VARCHAR) AS nations FROM nation GROUP BY n_regionkey",
     "audit_json": "SELECT o_orderkey, CAST(json_object('o_orderkey',o_orderkey,'o_orderstatus',o_orderstatus) AS VARCHAR) AS new_data FROM orders",
     "audit_log": "SELECT 'users' AS table_name, op AS operation, user_id, CASE WHEN op='INSERT' THEN NULL ELSE old_type END AS old_data, CASE WHEN op='DELETE' THEN NULL ELSE event_type END AS new_data, ts AS changed_at FROM (SELECT user_id, event_id, ts, event_type, CASE WHEN lag(event_type) OVER w IS NULL THEN 'INSERT' WHEN lead(event_type) OVER w IS NULL AND event_type='purchase' THEN 'DELETE' ELSE 'UPDATE' END AS op, lag(event_type) OVER w AS old_type, lead(ts) OVER w AS next_ts FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)) x",
     "audit_redact": "SELECT c_custkey, sha256(c_name) AS c_name FROM customer",
@@ -63,7 +63,7 @@ SQL: dict[str, str] = {
     "topo_levels": "WITH RECURSIVE deps(child,parent) AS (SELECT * FROM (VALUES ('lineitem','orders'),('orders','customer'),('customer','nation'),('nation','region')) v(child,parent)), lvl(obj,depth) AS (SELECT 'region' AS obj,0 AS depth UNION ALL SELECT d.child, l.depth+1 FROM deps d JOIN lvl l ON d.parent=l.obj) SELECT obj,max(depth) AS depth FROM lvl GROUP BY obj",
     "udtf_user_posts": "SELECT c.c_custkey, o.o_orderkey, o.o_orderstatus FROM customer c JOIN orders o ON o.o_custkey=c.c_custkey",
     "union_distinct": "SELECT c_nationkey AS k FROM customer UNION SELECT s_nationkey AS k FROM supplier",
-    "unnest_zip": "SELECT n_nationkey, unnest(generate_series(1,len(string_split(n_name,'_')))) AS ord, unnest(string_split(n_name,'_')) AS ch FROM nation",
+    "unnest_zip": "SELECT p_partkey, unnest(generate_series(1, greatest(len(string_split(p_name,' ')), len(string_split(p_type,' '))))) AS ord, unnest(string_split(p_name,' ')) AS a, unnest(string_split(p_type,' ')) AS b FROM part",
     "validate_length": "SELECT p_partkey FROM part WHERE NOT (length(p_name)>=5 AND length(p_name)<=10)",
     "validate_not_empty": "SELECT p_partkey FROM part WHERE NOT (length(trim(CASE WHEN p_size<5 THEN '  ' ELSE p_name END))>0)",
     "validate_pattern": "SELECT p_partkey FROM part WHERE NOT regexp_matches(p_brand,'^Brand#[1-3][0-9]?$')",

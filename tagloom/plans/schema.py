@@ -108,8 +108,9 @@ def ddl(change: str, table: str, column: str | None = None, kind: str | None = N
 
 
 def excluded(df: DataFrame, column: str, patterns: Iterable[str]) -> DataFrame:
-    """Rows whose name matches no glob (* any characters, ? one)."""
-    return df.filter(~F.col(column).rlike("|".join(glob_regex(p) for p in patterns)))
+    """Rows whose name matches no glob (* any characters, ? one): all without a glob, and those without a name."""
+    patterns = list(patterns)
+    return df.filter(~F.coalesce(F.col(column).rlike("|".join(map(glob_regex, patterns))), F.lit(False))) if patterns else df
 
 
 def glob_regex(glob: str) -> str:
@@ -123,6 +124,8 @@ def lint(objects: DataFrame, tags: DataFrame, required: Mapping[str, str], ignor
         missing = objects.select("table").distinct().join(tags.filter(F.col("namespace") == namespace).select("table"), "table", "left_anti")
         part = missing.select(F.lit(f"{namespace}.require").alias("rule"), "table", F.lit(severity).alias("severity"))
         out = part if out is None else out.unionByName(part)
+    if out is None:
+        out = objects.select(F.lit("").alias("rule"), "table", F.lit("").alias("severity")).limit(0)
     if ignores is None:
         return out.withColumn("skipped", F.lit(False))
     reasons = ignores.filter(F.length(F.trim("reason")) > 0).select("rule", "table").distinct().withColumn("_i", F.lit(True))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -62,8 +63,12 @@ def history_delete(spark, d):
 
 @query
 def audit_log(spark, d):
+    return user_log(spark, d)
+
+
+def user_log(spark: SparkSession, d: str, seq: bool = False) -> DataFrame:
     old = F.lag("event_type").over(changes.by_key(KEY, ORDER))
-    return changes.audit(feed(spark, d), "users", KEY, ORDER, "op", old, F.col("event_type"))
+    return changes.audit(feed(spark, d), "users", KEY, ORDER, "op", old, F.col("event_type"), seq=seq)
 
 
 @query
@@ -162,7 +167,7 @@ def validate_report(spark, d):
 
 @query
 def pk_duplicates(spark, d):
-    return guard.duplicates(read(spark, d, "lineitem")[0], ["l_orderkey", "l_linenumber"])
+    return guard.duplicates(read(spark, d, "lineitem")[0], ["l_orderkey", "l_linenumber"], primary=True)
 
 
 @query
@@ -330,10 +335,12 @@ def top1_lateral(spark, d):
 def udtf_user_posts(spark, d):
     """A SQL table function called for each row; Catalyst makes a join of it."""
     customer, orders = read(spark, d, "customer", "orders")
-    customer.createOrReplaceTempView("tagloom_customer")
-    orders.createOrReplaceTempView("tagloom_orders")
-    spark.sql("CREATE OR REPLACE TEMPORARY FUNCTION tagloom_user_posts(k BIGINT) RETURNS TABLE(o_orderkey BIGINT, o_orderstatus STRING) RETURN SELECT o_orderkey, o_orderstatus FROM tagloom_orders WHERE o_custkey = k")
-    return spark.sql("SELECT c.c_custkey, p.o_orderkey, p.o_orderstatus FROM tagloom_customer c, LATERAL tagloom_user_posts(c.c_custkey) p")
+    # Names of their own: another call of this session may read another folder.
+    own = uuid.uuid4().hex
+    customer.createOrReplaceTempView(f"customer_{own}")
+    orders.createOrReplaceTempView(f"orders_{own}")
+    spark.sql(f"CREATE TEMPORARY FUNCTION user_posts_{own}(k BIGINT) RETURNS TABLE(o_orderkey BIGINT, o_orderstatus STRING) RETURN SELECT o_orderkey, o_orderstatus FROM orders_{own} WHERE o_custkey = k")
+    return spark.sql(f"SELECT c.c_custkey, p.o_orderkey, p.o_orderstatus FROM customer_{own} c, LATERAL user_posts_{own}(c.c_custkey) p")
 
 
 # Aggregates and sets
@@ -356,7 +363,9 @@ def group_concat(spark, d):
 
 @query
 def array_agg_rows(spark, d):
-    return read(spark, d, "nation")[0].groupBy("n_regionkey").agg(joined_sorted("n_name", ",").alias("names"))
+    """The rows of each region, as rows, written as JSON."""
+    rows = F.sort_array(F.collect_list(F.struct("n_nationkey", "n_name")))
+    return read(spark, d, "nation")[0].groupBy("n_regionkey").agg(F.to_json(rows).alias("nations"))
 
 
 @query
@@ -409,7 +418,9 @@ def explode_array(spark, d):
 
 @query
 def unnest_zip(spark, d):
-    return read(spark, d, "nation")[0].select("n_nationkey", F.posexplode(F.split("n_name", "_")).alias("pos", "ch")).select("n_nationkey", (F.col("pos") + 1).cast("long").alias("ord"), "ch")
+    """Two arrays of different lengths side by side, with places from 1; the shorter one ends in nulls."""
+    pairs = F.arrays_zip(F.split("p_name", " ").alias("a"), F.split("p_type", " ").alias("b"))
+    return read(spark, d, "part")[0].select("p_partkey", F.posexplode(pairs).alias("pos", "p")).select("p_partkey", (F.col("pos") + 1).cast("long").alias("ord"), "p.a", "p.b")
 
 
 # Schemas
@@ -446,7 +457,7 @@ def as_of_versions(spark, d):
 @query
 def audit_replay(spark, d):
     """Each user's state as the audit log leaves it; equals the current versions."""
-    return changes.replay(audit_log(spark, d), KEY).withColumnRenamed("data", "event_type")
+    return changes.replay(user_log(spark, d, seq=True), KEY).withColumnRenamed("data", "event_type")
 
 
 @query
