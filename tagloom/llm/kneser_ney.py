@@ -15,7 +15,11 @@ model knows the words of what it was trained on too well. A document goes if its
 of those of its language plus MARGIN. That quantile is drawn to the one of all languages, which counts as PRIOR_TRUSTED
 documents, so no number of documents switches between the two; the null language uses that of all.
 
-Null and empty texts have no words: perplexity null, not kept. Labels of null don't count, and an id labelled several
+The order is two because longer asks don't fit: a part's distinct triples of words, packed, take three times what its
+pairs take, and more than the input by themselves (README).
+
+Null and empty texts have no words: perplexity null, not kept. Very long texts are scored whole. A perplexity that
+equals its threshold is kept. Labels of null don't count, and an id labelled several
 times is trusted if any label says so. Without trusted text every text with words is kept. Repeated rows each give a
 row. An empty table gives no rows. Of extra columns only _row is read, and returned: the caller's number of each row.
 """
@@ -32,10 +36,12 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tagloom.llm.common import only, saved, table
+from tagloom.llm.common import concluded, only, saved, table
 from tagloom.llm.word_ids import Memo
 
 LEAST_COUNT, UNKNOWN_TYPES, SHARD = 3, 1_000_000, 2_000_000
+#: Tasks whose counts are merged at once.
+MERGED = 256
 QUANTILE, MARGIN, PRIOR_TRUSTED, PRIOR_WORDS, CALIBRATION = 0.998, 0.25, 100, 20, 5
 START, UNKNOWN = 0, 1
 #: Of a word: all after it, the different ones after it once, twice and more often, and the different ones before it.
@@ -170,8 +176,11 @@ def shard_of(keys: np.ndarray, shards: int) -> np.ndarray:
     return ((keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(40)).astype(np.int64) % shards
 
 
-def counted(rows: DataFrame, size: int, shards: int) -> DataFrame:
-    """The count table: shard, keys and counts (packed) of all bigrams of rows; each task sends its own sums."""
+def counted(rows: DataFrame, size: int, shards: int, groups: int = 1) -> DataFrame:
+    """The count table: shard, keys and counts (packed) of all bigrams of rows; each task sends its own sums.
+
+    These are merged by groups of tasks first, so that no merge takes the sums of all tasks, however many there are.
+    """
 
     def count(batches):
         held, waiting, waits = (np.empty(0, np.int64), np.empty(0, np.int64)), [], 0
@@ -187,12 +196,15 @@ def counted(rows: DataFrame, size: int, shards: int) -> DataFrame:
                 if waits > SHARD:
                     held, waiting, waits = merged(), [], 0
         keys, c = merged()
-        of = shard_of(keys, shards)
+        of, group = shard_of(keys, shards), TaskContext.get().partitionId() % groups
         for k in np.unique(of).tolist():
-            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([pack(keys[of == k])]), pa.array([squeezed(c[of == k].astype("<i8"))])], ["shard", "keys", "counts"])
+            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([pack(keys[of == k])]), pa.array([squeezed(c[of == k].astype("<i8"))]), pa.array([group], pa.int32())], ["shard", "keys", "counts", "g"])
 
     schema = "shard int, keys binary, counts binary"
-    return rows.select("words").mapInArrow(count, schema).groupBy("shard").applyInArrow(merged_shard, schema)
+    own = rows.select("words").mapInArrow(count, schema + ", g int")
+    if groups > 1:
+        own = own.groupBy("shard", "g").applyInArrow(merged_shard, schema)
+    return own.groupBy("shard").applyInArrow(merged_shard, schema)
 
 
 def merged_shard(t: pa.Table) -> pa.Table:
@@ -332,6 +344,7 @@ class Model:
         return np.log(np.where(v == UNKNOWN, p / UNKNOWN_TYPES, p))
 
 
+@concluded
 def perplexities(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, lang, n_words and log_perplexity (null without words, or without trusted text)."""
     ids = saved(trusted_ids(labels).filter(~calibrates()))
@@ -342,7 +355,7 @@ def perplexities(docs: DataFrame, labels: DataFrame) -> DataFrame:
     asked = rows.filter("bigrams is not null").select(F.col("p").alias("part"), "n", "bigrams")
     shards = min(-(-(texts.agg(F.sum("n")).first()[0] or 1) // SHARD), -(-size * size // SHARD))
     copies = max(1, -(-(asked.agg(F.sum("n")).first()[0] or 1) // (shards * SHARD)))
-    counts = saved(counted(only(texts.select("doc_id", "words"), ids), size, shards))
+    counts = saved(counted(only(texts.select("doc_id", "words"), ids), size, shards, -(-asked.select("part").distinct().count() // MERGED) or 1))
     of_words = saved(in_shards(word_counts(unpacked(counts), size), shards))
     sent = docs.sparkSession.sparkContext.broadcast(Model(unpacked(counts), size, unpacked(of_words)))
     answers = answered(asked.select("part", "bigrams"), counts.unionByName(of_words), shards, copies)
@@ -364,7 +377,7 @@ def perplexities(docs: DataFrame, labels: DataFrame) -> DataFrame:
         return pa.table([own["doc_id"], own["lang"], own["_row"], own["n"], pa.array(found, pa.float64())], ["doc_id", "lang", "_row", "n_words", "log_perplexity"])
 
     scored = texts.select("p", "doc_id", "lang", "_row", "n", "words").groupBy("p").cogroup(answers.groupBy("part")).applyInArrow(score, "doc_id long, lang string, _row long, n_words long, log_perplexity double")
-    return saved(scored if "_row" in docs.columns else scored.drop("_row"))
+    return scored if "_row" in docs.columns else scored.drop("_row")
 
 
 def quality_classifier(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE, margin: float = MARGIN) -> DataFrame:

@@ -100,6 +100,68 @@ def test_single_words_counts_by_the_join_are_those_of_the_whole_table(spark):
         assert abs(got[i] + model.log_probabilities(k, np.array([known.get(int(x), 0) for x in k])).mean()) < 1e-9
 
 
+def brute_kneser_ney(train, texts):
+    """Mean negative log probabilities by an interpolated modified Kneser-Ney bigram model, from dictionaries alone."""
+    from collections import Counter
+    from math import log
+
+    def words(t):
+        out = []
+        for c in (t or "").split():
+            c = c[:-1] if c[-1] in ".,;:" else c
+            out.append(c.lower() if c.istitle() else c)
+        return out
+
+    seen = Counter(w for t in train for w in words(t) if w)
+    known = {w for w, n in seen.items() if n >= 3}
+    chain = lambda t: ["<s>", *[w if w in known else "<unk>" for w in words(t)]]
+    c = Counter(p for t in train for p in zip(chain(t), chain(t)[1:]))
+    after, before = {}, Counter(v for _, v in c)
+    for (u, _), n in c.items():
+        after.setdefault(u, []).append(n)
+
+    def discount(counts):
+        n = {k: max(1, sum(x == k for x in counts)) for k in (1, 2, 3, 4)}
+        y = n[1] / (n[1] + 2 * n[2])
+        d = {k: k - (k + 1) * y * n[k + 1] / n[k] for k in (1, 2, 3)}
+        return {0: 0.0} | {k: min(max(x, 0.05), k - 0.05) for k, x in d.items()}
+
+    d, low = discount(c.values()), discount(before.values())
+    size, every = len(known) + 2, sum(before.values())
+    rest = sum(low[min(n, 3)] for n in before.values()) / every / size
+    lower = lambda v: max(before[v] - low[min(before[v], 3)], 0) / every + rest
+    unknown = max(lower("<unk>"), 1 / size)
+    norm = 1 + unknown - lower("<unk>")
+
+    def p(u, v):
+        base = (unknown if v == "<unk>" else lower(v)) / norm
+        if u in after:
+            total = sum(after[u])
+            base = max(c[u, v] - d[min(c[u, v], 3)], 0) / total + sum(d[min(n, 3)] for n in after[u]) / total * base
+        return base / 1_000_000 if v == "<unk>" else base
+
+    return [-sum(log(p(u, v)) for u, v in zip(chain(t), chain(t)[1:])) / len(words(t)) if words(t) else None for t in texts]
+
+
+@pytest.mark.parametrize("shard", [2_000_000, 50])
+def test_perplexities_are_brute_force(spark, monkeypatch, shard):
+    monkeypatch.setattr(kneser_ney, "SHARD", shard)
+    monkeypatch.setattr(kneser_ney, "MERGED", 256 if shard > 50 else 1)
+    rnd = random.Random(31)
+    some = [f"w{i}" for i in range(40)]
+    texts = [" ".join(rnd.choice([rnd.choice(some), some[int(rnd.expovariate(0.3)) % 40].capitalize() + rnd.choice(["", ",", "."])]) for _ in range(rnd.randint(1, 30))) for _ in range(90)]
+    texts += ["new words only", "w1 w2 zzz w3, W4.", None, "", " ", "w0 " * 3000]
+    rows = list(enumerate(texts)) + [(0, texts[0])]
+    labels = spark.createDataFrame([(i, 1, None) for i in range(60)], "doc_id long, quality int, toxic int")
+    ids = {r.doc_id for r in kneser_ney.trusted_ids(labels).filter(~kneser_ney.calibrates()).collect()}
+    got = kneser_ney.perplexities(table(spark, rows), labels).collect()
+    want = brute_kneser_ney([t for i, t in rows if i in ids], texts)
+    assert len(got) == len(rows)
+    for r in got:
+        assert r.log_perplexity == (None if want[r.doc_id] is None else pytest.approx(want[r.doc_id], abs=1e-9)), r
+    assert kneser_ney.perplexities(table(spark, rows).limit(0), labels).count() == 0
+
+
 def test_small_languages_have_thresholds_of_their_own(spark, monkeypatch):
     # Languages of 20, 99, 100 and 101 calibration documents: perplexities 1 to 2 in xx and 2 to 3 in the others.
     rows, ids = [], (r.id for r in spark.range(4000).filter(kneser_ney.calibrates("id")).collect())
@@ -429,3 +491,37 @@ def test_pipeline_judges_rows_without_or_with_shared_ids(spark, monkeypatch):
     docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in near], docs.schema)
     got = sorted(((r.doc_id or 0, clean.index(r.text)) for r in P.by_similarity(spark, docs, "").collect()))
     assert got == [(0, 3), (0, 4), (4, 0), (8, 1), (8, 2)]
+
+
+def test_pipeline_is_what_its_stages_leave(spark, monkeypatch):
+    """The whole run against a set of survivors found row by row, with links by brute force and ids by the library."""
+    import zlib
+
+    from tokenizers import Tokenizer
+
+    import corpus_pipeline as P
+    import public_tokenizers
+
+    rnd = random.Random(41)
+    words = ["".join(rnd.choice("abcdefgh") for _ in range(5)) for _ in range(300)]
+    clean = [prose(rnd, words, 70) for _ in range(60)]
+    texts = list(enumerate(clean)) + [(100, clean[0]), (101, clean[1] + " the end"), (None, clean[2]), (102, prose(rnd, words).upper().replace(" ", "!! ")), (103, None), (104, ""), (105, "too short"), (106, clean[5] + " write to bob.smith@example.com"), (107, " ".join(clean[6:50]))]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t or ""), "clash") for i, t in texts], "doc_id long, text string, lang string, source string, n_chars long, _row string")
+    labels = spark.createDataFrame([(i, 1, None) for i in range(60)], "doc_id long, quality int, toxic int")
+    monkeypatch.setattr(P, "table", lambda spark, d, name: labels if name == "labels" else docs)
+    got = sorted((r.doc_id is not None, r.doc_id or 0, r.length, r.ids_crc32) for r in P.run(spark, "").collect())
+    kept = {r.doc_id for r in kneser_ney.quality_classifier(docs.drop("_row"), labels).collect() if r.kept}
+    good = {r.doc_id for r in quality_rules.quality_rules(docs).collect() if r.kept}
+    left = [(i, t) for i, t in texts if i in kept and i in good]
+    component = {i: c for i, _, c, _ in brute_links([(i if i is not None else 10**6, t) for i, t in left])}
+    left = [(i, t) for i, t in left if component[i if i is not None else 10**6] == (i if i is not None else 10**6)]
+    left = [(i, t) for i, t in left if i is not None or clean[2] not in [u for j, u in left if j is not None]]
+    assert {102, 103, 104, 105, 100, 101} & {i for i, _ in left} == set() and {0, 1, 2, 107} <= {i for i, _ in left}
+    tokenizer, want = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json")), []
+    for i, t in left:
+        ids = np.array([*tokenizer.encode(t, add_special_tokens=False).ids, 1], "<u4")
+        want += [(i is not None, i or 0, len(ids[k : k + 4096]), zlib.crc32(ids[k : k + 4096].tobytes())) for k in range(0, len(ids), 4096)]
+    private = lambda rows: sorted(x for x in rows if x[1] != 106)
+    assert private(got) == private(want) and {x[1] for x in got} == {x[1] for x in want}
+    monkeypatch.setattr(P, "table", lambda spark, d, name: labels if name == "labels" else docs.limit(0))
+    assert P.run(spark, "").count() == 0
