@@ -1,4 +1,9 @@
-"""The corpus pipeline: stages that each take and return documents, written as Parquet between them."""
+"""The corpus pipeline: stages that each take and return documents, written as Parquet between them.
+
+Stages judge rows, not ids: rows without an id or with one that others have too are kept or go by what their own text
+is, repeated rows each, but that of linked rows one stays. Null and empty texts don't pass the classifier. Very long
+texts go through whole. An empty table gives no rows. Columns other than those of documents are left behind.
+"""
 
 from __future__ import annotations
 
@@ -61,7 +66,8 @@ STAGES = [
     ("best-fit packing", packed),
 ]
 
-#: SQL can express neither the classifier nor the packing; tests/llm holds the stages against brute force.
+#: SQL can express neither the classifier nor the packing: tests/llm holds the model and the links against brute force,
+#: and the whole against its stages on a small table.
 ORACLE_SQL = None
 
 
