@@ -52,3 +52,30 @@ def in_ranged(value: Column, r: str) -> Column:
 def enum_order(column: str, labels: list[str]) -> Column:
     """A label's place, by which enums sort."""
     return F.array_position(F.array(*map(F.lit, labels)), F.col(column))
+
+
+def pascal(c: Column) -> Column:
+    """user_accounts: UserAccounts."""
+    word = lambda w: F.concat(F.upper(F.substring(w, 1, 1)), F.lower(F.substring(w, 2, 1 << 30)))
+    return F.array_join(F.transform(F.split(c, "_"), word), "")
+
+
+def camel(c: Column) -> Column:
+    """user_accounts: userAccounts."""
+    made = pascal(c)
+    return F.concat(F.lower(F.substring(made, 1, 1)), F.substring(made, 2, 1 << 30))
+
+
+def singular(c: Column) -> Column:
+    """An English plural's singular, by its ending; short words and those in ss, us and is stay."""
+    cut = lambda n: F.left(c, F.length(c) - n)
+    return (
+        F.when((F.length(c) <= 2) | c.rlike("(ss|us|is)$"), c).when(c.endswith("ies") & (F.length(c) > 4), F.concat(cut(3), F.lit("y")))
+        .when(c.rlike("(s|x|z|ch|sh)es$"), cut(2)).when(c.endswith("s"), cut(1)).otherwise(c)
+    )
+
+
+def singular_last(c: Column) -> Column:
+    """post_tags: post_tag."""
+    last = F.substring_index(c, "_", -1)
+    return F.concat(F.left(c, F.length(c) - F.length(last)), singular(last))

@@ -7,6 +7,7 @@ changes by (time, tie-break) over the same partitioning, so one shuffle by key s
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
@@ -47,9 +48,9 @@ def as_of(versions: DataFrame, moment) -> DataFrame:
     return versions.filter((F.col("valid_from") <= at) & (F.col("valid_to").isNull() | (at < F.col("valid_to"))))
 
 
-def with_version_ids(versions: DataFrame, key: Sequence[str]) -> DataFrame:
-    """A surrogate key, numbered within the row's key: (key, version_id) is unique without a global sort."""
-    return versions.withColumn("version_id", F.row_number().over(Window.partitionBy(*key).orderBy("valid_from")))
+def with_version_ids(versions: DataFrame, key: Sequence[str], ties: Sequence[str] = ()) -> DataFrame:
+    """A surrogate key, numbered within the row's key: (key, version_id) is unique without a global sort; ties order versions of one time."""
+    return versions.withColumn("version_id", F.row_number().over(Window.partitionBy(*key).orderBy("valid_from", *ties)))
 
 
 def history(feed: DataFrame, key: Sequence[str], order: Sequence[str], payload: Sequence[str], op: str | None = None, on: Sequence[str] = (UPDATE, DELETE)) -> DataFrame:
@@ -103,6 +104,19 @@ def snapshot_changes(before: DataFrame, after: DataFrame, key: Sequence[str]) ->
     return joined.withColumn("op", op).filter(F.col("op").isNotNull())
 
 
+def stamped(before: DataFrame, after: DataFrame, key: Sequence[str], column: str, moment: Column) -> DataFrame:
+    """after with the time of its last change in column: moment where a row is new or differs from before, else what it was.
+
+    Keys are unique; a null key is a key. The column itself isn't compared, and after needn't have it.
+    """
+    payload = [c for c in after.columns if c not in (*key, column)]
+    old = before.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(key)], F.struct(*payload).alias("_old"), F.col(column).alias("_at"))
+    same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(key)])
+    joined = after.select(*key, *payload).join(old, same, "left")
+    at = F.when(F.col("_old").eqNullSafe(F.struct(*payload)), F.col("_at")).otherwise(moment)
+    return joined.select(*key, *payload, at.alias(column))
+
+
 @namespace("temporal", {"": TagSpec(("table",), 0, 2)})
 def _temporal(df: DataFrame, context: Context) -> dict[str, DataFrame]:
     versions = scd2(df, context.key, context.order, context.options.get("op"))

@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tagloom.functions.text import camel, pascal, singular_last
+
 #: Kinds of parts in the order in which they are made; they are dropped in the other one (fixed values).
 KINDS = ("schema", "object", "sequence", "table", "column", "primary_key", "index", "foreign_key", "check", "attr", "view", "func", "proc", "policy", "trigger")
 PART = "kind string, owner string, name string, body string, shape string, system boolean"
@@ -132,3 +134,50 @@ def merged_comments(written: DataFrame, made: DataFrame) -> DataFrame:
     """(name, comment): what is written of each object, then what tags make of it in order, a line each."""
     lines = written.select("name", F.lit(0).alias("k"), "comment").unionByName(made.select("name", F.lit(1).alias("k"), "comment")).filter("comment is not null")
     return lines.groupBy("name").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("k", "comment"))), lambda s: s["comment"]), "\n").alias("comment"))
+
+
+def previous_names(tags: DataFrame) -> DataFrame:
+    """Known renames (kind, owner, name, to) from tags (namespace, tag, kind, owner, name, arg) that tell a table's or a column's name before."""
+    told = tags.filter("namespace = 'docs' and tag = 'previously' and kind in ('table', 'column') and arg is not null")
+    return told.select("kind", "owner", F.col("arg").alias("name"), F.col("name").alias("to"))
+
+
+def deprecations(tags: DataFrame) -> DataFrame:
+    """(kind, owner, name, message, status) of what tags of the namespace deprecated say; a tag of another name says nothing."""
+    message = "CASE tag WHEN '' THEN 'DEPRECATED' WHEN 'replace' THEN concat('DEPRECATED: use ', arg, ' instead') WHEN 'remove' THEN concat('DEPRECATED: scheduled for removal after ', arg) END"
+    status = "CASE tag WHEN '' THEN 'Deprecated' WHEN 'replace' THEN concat('Deprecated \u2192 ', arg) WHEN 'remove' THEN concat('Remove after ', arg) END"
+    return tags.filter("namespace = 'deprecated'").select(*KEY, F.expr(message).alias("message"), F.expr(status).alias("status")).filter("message is not null")
+
+
+def cyclic(keys: DataFrame) -> DataFrame:
+    """Foreign keys (owner, target, ...) on a cycle of tables or on a way between two: they are added when all tables are there.
+
+    Keys from tables that nothing points to, or to tables that point to nothing, are peeled off until none is left. A
+    table's key to itself needs no other table, so it is none of these. Each round is a job on a catalog, not on data.
+    """
+    left = keys.filter("owner <> target")
+    n = left.count()
+    while n:
+        sources, targets = left.select(F.col("owner").alias("target")).distinct(), left.select(F.col("target").alias("owner")).distinct()
+        left = left.join(sources, "target", "left_semi").join(targets, "owner", "left_semi").select(*keys.columns)
+        before, n = n, left.count()
+        if n == before:
+            break
+    return left
+
+
+def dependencies(edges: DataFrame) -> DataFrame:
+    """(name, deps): what each object needs directly, each once, in order; itself left out."""
+    return edges.filter("name <> needs").groupBy("name").agg(F.sort_array(F.collect_set("needs")).alias("deps"))
+
+
+def enriched(columns: DataFrame, primary: DataFrame, foreign: DataFrame) -> DataFrame:
+    """columns (table, column, ...) with the names that code is written with, whether they are keys, and the table a foreign key leads to.
+
+    primary is (table, column), foreign (table, column, target); a column with several foreign keys has the first target by name.
+    """
+    pk = primary.select("table", "column", F.lit(True).alias("_pk")).distinct()
+    fk = foreign.groupBy("table", "column").agg(F.min("target").alias("references"))
+    joined = columns.join(pk, ["table", "column"], "left").join(fk, ["table", "column"], "left")
+    named = joined.withColumn("pascal", pascal(F.col("column"))).withColumn("camel", camel(F.col("column"))).withColumn("type_name", pascal(singular_last(F.col("table"))))
+    return named.withColumn("is_primary", F.coalesce("_pk", F.lit(False))).withColumn("is_foreign", F.col("references").isNotNull()).drop("_pk")

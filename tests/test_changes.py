@@ -56,3 +56,10 @@ def test_snapshots(spark):
     b = spark.createDataFrame([(1, "x"), (2, "y"), (4, None)], "id int, v string")
     assert sorted((r.id, r.op) for r in C.snapshot_changes(a, b, KEY).collect()) == [(2, "UPDATE"), (3, "DELETE"), (4, "INSERT")]
     assert C.snapshot_changes(a, a, KEY).count() == 0
+
+
+def test_stamped_rows(spark):
+    before = spark.createDataFrame([(1, "a", 10), (2, "b", 10), (None, "n", 10), (3, None, 10)], "k int, v string, at int")
+    after = spark.createDataFrame([(1, "a"), (2, "c"), (None, "n"), (3, None), (4, "d")], "k int, v string")
+    made = {r.k: r["at"] for r in C.stamped(before, after, ["k"], "at", F.lit(99)).collect()}
+    assert made == {1: 10, 2: 99, None: 10, 3: 10, 4: 99}

@@ -123,3 +123,23 @@ def test_links_tags_and_comments(spark):
     assert sorted(tuple(r) for r in P.matched(tags, objects).collect()) == [("x", "a", "t"), ("x", "b", "t"), ("y", "b", "t")]
     keys = spark.createDataFrame([("t", "f", "u"), ("t", "g", "t")], "owner string, name string, target string")
     assert {r.name: r.found for r in P.linked(parts_of(spark, ("table", "", "t", "", None, False, 0)), keys).collect()} == {"f": False, "g": True}
+
+
+def test_keys_of_cycles(spark):
+    keys = spark.createDataFrame([("a", "b"), ("b", "c"), ("c", "a"), ("c", "d"), ("d", "e"), ("e", "d"), ("z", "a"), ("e", "q"), ("s", "s"), (None, "a"), ("a", None)], "owner string, target string")
+    assert {tuple(r) for r in P.cyclic(keys).collect()} == {("a", "b"), ("b", "c"), ("c", "a"), ("c", "d"), ("d", "e"), ("e", "d")}
+    assert P.cyclic(keys.limit(0)).count() == 0 and P.cyclic(keys.filter("owner = 'z'")).count() == 0
+
+
+def test_names_of_code(spark):
+    df = spark.createDataFrame([("post_tags",), ("user__categories",), ("address",), ("boxes",), ("",), (None,)], "n string")
+    made = [tuple(r) for r in df.select(X.pascal(F.col("n")), X.camel(F.col("n")), X.singular_last(F.col("n"))).collect()]
+    assert made == [("PostTags", "postTags", "post_tag"), ("UserCategories", "userCategories", "user__category"), ("Address", "address", "address"), ("Boxes", "boxes", "box"), ("", "", ""), (None, None, None)]
+
+
+def test_enriched_columns_with_keys_given_twice(spark):
+    columns = spark.createDataFrame([("t_cats", "id"), ("t_cats", "b_id")], "`table` string, column string")
+    primary = spark.createDataFrame([("t_cats", "id"), ("t_cats", "id")], "`table` string, column string")
+    foreign = spark.createDataFrame([("t_cats", "b_id", "y"), ("t_cats", "b_id", "x")], "`table` string, column string, target string")
+    made = {r.column: r for r in P.enriched(columns, primary, foreign).collect()}
+    assert len(made) == 2 and made["id"].is_primary and not made["id"].is_foreign and made["b_id"].references == "x" and made["b_id"].camel == "bId" and made["id"].type_name == "TCat"
