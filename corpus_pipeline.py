@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tagloom.llm.common import only, saved, table
+from tagloom.llm.common import concluded, only, passing_paths, removed, saved, table
 from tagloom.llm.kneser_ney import quality_classifier
 from tagloom.llm.packing import best_fit_packing
 from tagloom.llm.quality_rules import passing
@@ -73,8 +73,10 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    for i, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if i + 1 < len(STAGES):
-            docs = saved(docs)
-    return docs
+    with passing_paths() as paths:
+        for _, stage in STAGES[:-1]:
+            docs = concluded(lambda docs, stage=stage: stage(spark, docs, sf_dir))(docs)
+            # Its input has been read: only what it returned stays.
+            removed(spark, paths[:-1])
+            del paths[:-1]
+    return STAGES[-1][1](spark, docs, sf_dir)

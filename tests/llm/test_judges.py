@@ -525,3 +525,33 @@ def test_pipeline_is_what_its_stages_leave(spark, monkeypatch):
     assert private(got) == private(want) and {x[1] for x in got} == {x[1] for x in want}
     monkeypatch.setattr(P, "table", lambda spark, d, name: labels if name == "labels" else docs.limit(0))
     assert P.run(spark, "").count() == 0
+
+
+def test_saving_removes_shuffles_and_the_pipeline_its_folders(spark, tmp_path, monkeypatch):
+    import time
+
+    import corpus_pipeline as P
+    from tagloom.llm import common
+    from tagloom.llm.common import SHUFFLE_CLEANUP, saved
+
+    def shuffles():
+        return {f for f in spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles().mkString("\n").split("\n") if "shuffle_" in f}
+
+    before, was = shuffles(), spark.conf.get(SHUFFLE_CLEANUP, None)
+    assert saved(spark.range(20_000).groupBy((F.col("id") % 9000).alias("k")).count()).count() == 9000
+    # The write's shuffle goes soon after it; that of the count above has one row a task.
+    until = time.time() + 20
+    large = lambda: [f for f in shuffles() - before if os.path.exists(f) and os.path.getsize(f) > 10_000]
+    while large() and time.time() < until:
+        time.sleep(0.2)
+    assert not large() and spark.conf.get(SHUFFLE_CLEANUP, None) == was
+
+    rnd = random.Random(12)
+    words = ["".join(rnd.choice("abcdefgh") for _ in range(4)) for _ in range(150)]
+    docs = spark.createDataFrame([(i, prose(rnd, words), "en", "s", 1) for i in range(60)], "doc_id long, text string, lang string, source string, n_chars long")
+    labels = spark.createDataFrame([(i, 1, None) for i in range(60)], "doc_id long, quality int, toxic int")
+    monkeypatch.setattr(P, "table", lambda spark, d, name: labels if name == "labels" else docs)
+    monkeypatch.setattr(common, "shared_dir", lambda spark: f"file://{tmp_path}")
+    assert P.run(spark, "").count() > 30
+    # What the last stage reads: its documents, and their pieces.
+    assert len(list(tmp_path.glob("tagloom-*"))) == 2
