@@ -8,7 +8,9 @@ numbered by their 64-bit hashes, from the most frequent on; these numbers (12 by
 Bigram counts of all trusted text make the count table, in shards of about SHARD entries by a hash of the bigram. The
 counts of single words stand in the same table under contexts of their own (WORD_COUNTS of them, from the number of
 words on). Each part of the input asks each shard once for its distinct bigrams and words, packed; where many parts
-ask, a shard is sent to several tasks. The answers meet the part's documents again, as word numbers.
+ask, a shard is sent to several tasks. The answers meet the part's documents again, as word numbers: they are counts
+alone, in the order of the asks, which the part finds again from its documents. Chunks between white space are made
+words once per SLICE bytes of text, and distinct numbers are found by sorting.
 
 One in CALIBRATION trusted documents is kept out of vocabulary and counts, and only these set the thresholds: a
 model knows the words of what it was trained on too well. A document goes if its log perplexity is above the QUANTILE
@@ -26,11 +28,11 @@ row. An empty table gives no rows. Of extra columns only _row is read, and retur
 
 from __future__ import annotations
 
-import zlib
-from collections import Counter
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
@@ -40,6 +42,8 @@ from tagloom.llm.common import concluded, only, saved, table
 from tagloom.llm.word_ids import Memo
 
 LEAST_COUNT, UNKNOWN_TYPES, SHARD = 3, 1_000_000, 2_000_000
+#: Bytes of text whose chunks are looked up together, words whose bigrams are sorted together, and asks to a row.
+SLICE, SORTED, ASKS = 16_000_000, 2_000_000, 1_000_000
 #: Tasks whose counts are merged at once.
 MERGED = 256
 QUANTILE, MARGIN, PRIOR_TRUSTED, PRIOR_WORDS, CALIBRATION = 0.998, 0.25, 100, 20, 5
@@ -59,6 +63,40 @@ def hash_of(word: str) -> int:
     return h - (1 << 64) if h >> 63 else h
 
 
+def distinct(numbers: np.ndarray) -> np.ndarray:
+    """The different numbers, ascending."""
+    ordered = np.sort(numbers)
+    return ordered[np.concatenate([[True], ordered[1:] != ordered[:-1]])] if len(ordered) else ordered
+
+
+def summed(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The different keys, ascending, and the sums of their counts."""
+    order = np.argsort(keys)
+    keys, counts = keys[order], counts[order]
+    starts = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.empty(0, np.int64)
+    return keys[starts], np.add.reduceat(counts, starts) if len(keys) else counts
+
+
+def hashed_slices(texts: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Of texts of SLICE bytes together: chunks in each, and the place of each chunk's word among the hashes of those of distinct chunks."""
+    texts = pc.fill_null(texts, "")
+    ends = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False).astype(np.int64))
+    low = 0
+    while low < len(texts):
+        high = max(low + 1, int(np.searchsorted(ends, (ends[low - 1] if low else 0) + SLICE, "right")))
+        chunks = pc.utf8_split_whitespace(texts.slice(low, high - low))
+        every = chunks.flatten()
+        # White space at either end of a text leaves an empty chunk there.
+        full = pc.not_equal(every, "").to_numpy(zero_copy_only=False)
+        lengths = pc.list_value_length(chunks).to_numpy(zero_copy_only=False)
+        n = np.bincount(np.repeat(np.arange(len(lengths)), lengths), full, len(lengths)).astype(np.int64)
+        coded = every.dictionary_encode()
+        digest = xxhash.xxh3_64_intdigest
+        hashes = np.fromiter((digest(word_of(c).encode("utf-8", "surrogatepass")) for c in coded.dictionary.to_pylist()), np.uint64, len(coded.dictionary))
+        yield n, coded.indices.to_numpy()[full], hashes.view(np.int64)
+        low = high
+
+
 class _Numbers(Memo):
     def __init__(self, hashes: np.ndarray, ranks: np.ndarray):
         super().__init__()
@@ -69,6 +107,12 @@ class _Numbers(Memo):
         at = int(np.searchsorted(self.hashes, np.int64(h)))
         return int(self.ranks[at]) + 2 if at < len(self.hashes) and self.hashes[at] == h else UNKNOWN
 
+    def of_hashes(self, hashes: np.ndarray) -> np.ndarray:
+        at = np.minimum(np.searchsorted(self.hashes, hashes), max(len(self.hashes) - 1, 0))
+        if not len(self.hashes):
+            return np.full(len(hashes), UNKNOWN, np.uint32)
+        return np.where(self.hashes[at] == hashes, self.ranks[at] + 2, UNKNOWN).astype(np.uint32)
+
     def __missing__(self, chunk: str) -> int:
         found = self.old.get(chunk)
         if found is None:
@@ -89,24 +133,26 @@ def vocabulary(trusted: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     """The hashes of all words counted LEAST_COUNT times or more, ascending, and their ranks from the most frequent on."""
 
     def count(batches):
-        words: Counter = Counter()
+        none, held, waiting = hash_of(""), (np.empty(0, np.int64), np.empty(0, np.int64)), []
+
+        def merged():
+            return summed(*(np.concatenate(x) for x in zip(held, *waiting, strict=True)))
 
-        def often():
-            kept = Counter()
-            for chunk, n in words.items():
-                kept[word_of(chunk)] += n
-            kept.pop("", None)
-            return pa.RecordBatch.from_arrays([pa.array(list(map(hash_of, kept)), pa.int64()), pa.array(list(kept.values()), pa.int64())], ["h", "n"])
+        def rows(hashes, n):
+            return pa.RecordBatch.from_arrays([pa.array(hashes[hashes != none]), pa.array(n[hashes != none])], ["h", "n"])
 
         for batch in batches:
-            for text in batch["text"].to_pylist():
-                words.update((text or "").split())
-            if len(words) > 500_000:
-                yield often()
-                words = Counter()
-        yield often()
-
-    counted = trusted.select("text").mapInArrow(count, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).filter(F.col("n") >= LEAST_COUNT).toArrow()
+            for _, at, hashes in hashed_slices(batch["text"]):
+                waiting.append((hashes, np.bincount(at, minlength=len(hashes)).astype(np.int64)))
+                if sum(len(h) for h, _ in waiting) > SORTED:
+                    held, waiting = merged(), []
+                if len(held[0]) > SORTED:
+                    yield rows(*held)
+                    held = held[0][:0], held[1][:0]
+        yield rows(*merged())
+
+    # Saved, so that the shuffle of all words is removed.
+    counted = saved(trusted.select("text").mapInArrow(count, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).filter(F.col("n") >= LEAST_COUNT)).toArrow()
     hashes, n = (counted[k].to_numpy() for k in ("h", "n"))
     order = np.argsort(hashes)
     hashes, n = hashes[order], n[order]
@@ -117,12 +163,14 @@ def vocabulary(trusted: DataFrame) -> tuple[np.ndarray, np.ndarray]:
 
 def squeezed(numbers: np.ndarray) -> bytes:
     """Numbers compressed, first bytes first: those of high order are mostly zeros."""
-    return zlib.compress(np.ascontiguousarray(numbers).view(np.uint8).reshape(len(numbers), numbers.itemsize).T.tobytes(), 1)
+    planes = np.ascontiguousarray(numbers).view(np.uint8).reshape(len(numbers), numbers.itemsize).T.tobytes()
+    return len(planes).to_bytes(8, "little") + pa.compress(planes, "zstd", asbytes=True)
 
 
 def unsqueezed(packed: bytes, kind: str) -> np.ndarray:
-    size = np.dtype(kind).itemsize
-    return np.ascontiguousarray(np.frombuffer(zlib.decompress(packed), np.uint8).reshape(size, -1).T).view(kind).reshape(-1)
+    size, whole = np.dtype(kind).itemsize, int.from_bytes(packed[:8], "little")
+    planes = pa.decompress(packed[8:], whole, "zstd", asbytes=True) if whole else b""
+    return np.ascontiguousarray(np.frombuffer(planes, np.uint8).reshape(size, -1).T).view(kind).reshape(-1)
 
 
 def numbered(docs: DataFrame, words: tuple[np.ndarray, np.ndarray]) -> DataFrame:
@@ -133,28 +181,25 @@ def numbered(docs: DataFrame, words: tuple[np.ndarray, np.ndarray]) -> DataFrame
     def number(batches):
         numbers, part = _Numbers(*sent.value), TaskContext.get().partitionId()
         seen, waiting = np.empty(0, np.int64), []
-        names = ["doc_id", "lang", "_row", "p", "n", "words", "bigrams"]
+        names = ["doc_id", "lang", "_row", "p", "n", "k", "words", "bigrams"]
         for batch in batches:
-            ns, packed = [], []
-            for text in batch["text"].to_pylist():
-                chunks = (text or "").split()
-                w = np.fromiter(map(numbers.__getitem__, chunks), np.uint32, len(chunks))
-                ns.append(len(w))
-                packed.append(squeezed(w))
-                waiting.append(np.unique(bigrams(w, size)))
-            if sum(map(len, waiting)) > 2_000_000:
-                seen, waiting = np.unique(np.concatenate([seen, *waiting])), []
-            k = len(ns)
-            yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["lang"], batch["_row"], pa.array([part] * k, pa.int32()), pa.array(ns, pa.int64()), pa.array(packed, pa.binary()), pa.nulls(k, pa.binary())], names)
-        seen = np.unique(np.concatenate([seen, *waiting]))
-        left, right = np.unique(seen // size), np.unique(seen % size)
-        seen = np.concatenate([seen, *[(size + k) * size + left for k in (TOTAL, ONCE, TWICE, OFTEN)], (size + BEFORE) * size + right])
-        for k in range(0, len(seen), 1_000_000):
-            own = seen[k : k + 1_000_000]
-            yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.nulls(1, pa.string()), pa.nulls(1, pa.int64()), pa.array([part], pa.int32()), pa.array([len(own)]), pa.nulls(1, pa.binary()), pa.array([pack(own)])], names)
+            low = 0
+            for n, at, hashes in hashed_slices(batch["text"]):
+                w, k, own = numbers.of_hashes(hashes)[at], len(n), batch.slice(low, len(n))
+                waiting.append(distinct(bigrams_of(w, n, size)))
+                if sum(map(len, waiting)) > SORTED:
+                    seen, waiting = distinct(np.concatenate([seen, *waiting])), []
+                ends = np.cumsum(n)
+                packed = [squeezed(w[e - m : e]) for e, m in zip(ends.tolist(), n.tolist(), strict=True)]
+                yield pa.RecordBatch.from_arrays([own["doc_id"], own["lang"], own["_row"], pa.array([part] * k, pa.int32()), pa.array(n), pa.nulls(k, pa.int32()), pa.array(packed, pa.binary()), pa.nulls(k, pa.binary())], names)
+                low += k
+        asks = asks_of(distinct(np.concatenate([seen, *waiting])), size)
+        for k in range(0, len(asks), ASKS):
+            own = asks[k : k + ASKS]
+            yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.nulls(1, pa.string()), pa.nulls(1, pa.int64()), pa.array([part], pa.int32()), pa.array([len(own)]), pa.array([k // ASKS], pa.int32()), pa.nulls(1, pa.binary()), pa.array([pack(own)])], names)
 
     row = F.col("_row") if "_row" in docs.columns else F.lit(None)
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), row.cast("long").alias("_row"), "text").mapInArrow(number, "doc_id long, lang string, _row long, p int, n long, words binary, bigrams binary")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), row.cast("long").alias("_row"), "text").mapInArrow(number, "doc_id long, lang string, _row long, p int, n long, k int, words binary, bigrams binary")
 
 
 def bigrams(words: np.ndarray, size: int) -> np.ndarray:
@@ -163,6 +208,32 @@ def bigrams(words: np.ndarray, size: int) -> np.ndarray:
     return np.concatenate([[START], w[:-1]]) * size + w if len(w) else w
 
 
+def bigrams_of(words: np.ndarray, lengths: np.ndarray, size: int) -> np.ndarray:
+    """The bigrams of texts that have `lengths` of these words each."""
+    before = np.concatenate([[START], words[:-1].astype(np.int64)]) if len(words) else words.astype(np.int64)
+    before[(np.cumsum(lengths) - lengths)[lengths > 0]] = START
+    return before * size + words
+
+
+def asks_of(seen: np.ndarray, size: int) -> np.ndarray:
+    """All that a part asks for (ascending), of whose texts `seen` are the distinct bigrams."""
+    left, right = distinct(seen // size), distinct(seen % size)
+    return np.concatenate([seen, *[(size + k) * size + left for k in (TOTAL, ONCE, TWICE, OFTEN)], (size + BEFORE) * size + right])
+
+
+def unpacked_words(packed: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Words of texts, and how many each has, about SORTED words at once."""
+    held, size = [], 0
+    for x in packed:
+        held.append(unsqueezed(x, "<u4"))
+        size += len(held[-1])
+        if size > SORTED:
+            yield np.concatenate(held), np.array(list(map(len, held)))
+            held, size = [], 0
+    if held:
+        yield np.concatenate(held), np.array(list(map(len, held)))
+
+
 def pack(keys: np.ndarray) -> bytes:
     """Ascending numbers below 2**63 by their differences, compressed."""
     return squeezed(np.diff(keys, prepend=0).astype("<i8"))
@@ -176,6 +247,15 @@ def shard_of(keys: np.ndarray, shards: int) -> np.ndarray:
     return ((keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(40)).astype(np.int64) % shards
 
 
+def by_shard(keys: np.ndarray, shards: int) -> Iterator[tuple[int, np.ndarray]]:
+    """Each shard of the keys, and their places, ascending."""
+    ordered = np.sort(shard_of(keys, shards) << 32 | np.arange(len(keys)))
+    of, places = ordered >> 32, ordered & 0xFFFFFFFF
+    starts = np.flatnonzero(np.concatenate([[True], of[1:] != of[:-1]])) if len(keys) else np.empty(0, np.int64)
+    for low, high in zip(starts.tolist(), [*starts[1:].tolist(), len(keys)]):
+        yield int(of[low]), places[low:high]
+
+
 def counted(rows: DataFrame, size: int, shards: int, groups: int = 1) -> DataFrame:
     """The count table: shard, keys and counts (packed) of all bigrams of rows; each task sends its own sums.
 
@@ -183,22 +263,15 @@ def counted(rows: DataFrame, size: int, shards: int, groups: int = 1) -> DataFra
     """
 
     def count(batches):
-        held, waiting, waits = (np.empty(0, np.int64), np.empty(0, np.int64)), [], 0
-
-        def merged():
-            keys, at = np.unique(np.concatenate([held[0], *[k for k, _ in waiting]]), return_inverse=True)
-            return keys, np.bincount(at, np.concatenate([held[1], *[c for _, c in waiting]]), len(keys)).astype(np.int64)
-
+        held = np.empty(0, np.int64), np.empty(0, np.int64)
         for batch in batches:
-            for packed in batch["words"].to_pylist():
-                waiting.append(np.unique(bigrams(unsqueezed(packed, "<u4"), size), return_counts=True))
-                waits += len(waiting[-1][0])
-                if waits > SHARD:
-                    held, waiting, waits = merged(), [], 0
-        keys, c = merged()
-        of, group = shard_of(keys, shards), TaskContext.get().partitionId() % groups
-        for k in np.unique(of).tolist():
-            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([pack(keys[of == k])]), pa.array([squeezed(c[of == k].astype("<i8"))]), pa.array([group], pa.int32())], ["shard", "keys", "counts", "g"])
+            for words, n in unpacked_words(batch["words"].to_pylist()):
+                own = np.unique(bigrams_of(words, n, size), return_counts=True)
+                held = summed(*(np.concatenate(x) for x in zip(held, own, strict=True)))
+        keys, c = held
+        group = TaskContext.get().partitionId() % groups
+        for k, at in by_shard(keys, shards):
+            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([pack(keys[at])]), pa.array([squeezed(c[at].astype("<i8"))]), pa.array([group], pa.int32())], ["shard", "keys", "counts", "g"])
 
     schema = "shard int, keys binary, counts binary"
     own = rows.select("words").mapInArrow(count, schema + ", g int")
@@ -208,8 +281,7 @@ def counted(rows: DataFrame, size: int, shards: int, groups: int = 1) -> DataFra
 
 
 def merged_shard(t: pa.Table) -> pa.Table:
-    keys, at = np.unique(np.concatenate([unpack(x) for x in t["keys"].to_pylist()]), return_inverse=True)
-    c = np.bincount(at, np.concatenate([unsqueezed(x, "<i8") for x in t["counts"].to_pylist()]), len(keys))
+    keys, c = summed(np.concatenate([unpack(x) for x in t["keys"].to_pylist()]), np.concatenate([unsqueezed(x, "<i8") for x in t["counts"].to_pylist()]))
     return pa.table([t["shard"][:1], pa.array([pack(keys)]), pa.array([squeezed(c.astype("<i8"))])], ["shard", "keys", "counts"])
 
 
@@ -230,9 +302,8 @@ def in_shards(counts: DataFrame, shards: int) -> DataFrame:
             keys, c = batch["bigram"].to_numpy(), batch["c"].to_numpy()
             order = np.argsort(keys)
             keys, c = keys[order], c[order]
-            of = shard_of(keys, shards)
-            for k in np.unique(of).tolist():
-                yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([pack(keys[of == k])]), pa.array([squeezed(c[of == k].astype("<i8"))])], ["shard", "keys", "counts"])
+            for k, at in by_shard(keys, shards):
+                yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([pack(keys[at])]), pa.array([squeezed(c[at].astype("<i8"))])], ["shard", "keys", "counts"])
 
     schema = "shard int, keys binary, counts binary"
     return counts.mapInArrow(split, schema).groupBy("shard").applyInArrow(merged_shard, schema)
@@ -252,38 +323,43 @@ def unpacked(table_: DataFrame) -> DataFrame:
 
 
 def answered(asked: DataFrame, table_: DataFrame, shards: int, copies: int) -> DataFrame:
-    """part, keys and counts (packed) of the bigrams that parts ask for and the table has.
+    """part, k and shard of asks, and the counts (packed) of those of their bigrams that the shard would have, in their order.
 
-    asked: part and bigrams (packed). The parts are dealt over `copies` of each shard.
+    asked: part, k (its rows of asks) and bigrams (packed). The parts are dealt over `copies` of each shard. What a
+    shard has nothing of isn't answered.
     """
 
     def split(batches):
         for batch in batches:
-            for part, packed in zip(batch["part"].to_pylist(), batch["bigrams"].to_pylist(), strict=True):
+            for part, k, packed in zip(batch["part"].to_pylist(), batch["k"].to_pylist(), batch["bigrams"].to_pylist(), strict=True):
                 keys = unpack(packed)
-                of = shard_of(keys, shards)
-                own = np.unique(of).tolist()
-                yield pa.RecordBatch.from_arrays([pa.array([part] * len(own), pa.int32()), pa.array(own, pa.int32()), pa.array([pack(keys[of == k]) for k in own], pa.binary())], ["part", "shard", "bigrams"])
+                own = dict(by_shard(keys, shards))
+                yield pa.RecordBatch.from_arrays([pa.array([part] * len(own), pa.int32()), pa.array([k] * len(own), pa.int32()), pa.array(list(own), pa.int32()), pa.array([pack(keys[at]) for at in own.values()], pa.binary())], ["part", "k", "shard", "bigrams"])
 
     def look_up(key: tuple, asks: pa.Table, tables: pa.Table) -> pa.Table:
-        parts, keys, counts = [], [], []
-        if len(tables):
-            b = np.concatenate([unpack(x) for x in tables["keys"].to_pylist()])
-            c = np.concatenate([unsqueezed(x, "<i8") for x in tables["counts"].to_pylist()])
-            order = np.argsort(b)
-            b, c = b[order], c[order]
-            for part, packed in zip(asks["part"].to_pylist(), asks["bigrams"].to_pylist(), strict=True):
-                k = unpack(packed)
-                at = np.minimum(np.searchsorted(b, k), len(b) - 1)
-                has = b[at] == k
+        parts, ks, counts = [], [], []
+        if len(tables) and len(asks):
+            b, c = summed(np.concatenate([unpack(x) for x in tables["keys"].to_pylist()]), np.concatenate([unsqueezed(x, "<i8") for x in tables["counts"].to_pylist()]))
+            for part, k, packed in zip(asks["part"].to_pylist(), asks["k"].to_pylist(), asks["bigrams"].to_pylist(), strict=True):
+                keys = unpack(packed)
+                at = np.minimum(np.searchsorted(b, keys), len(b) - 1)
                 parts.append(part)
-                keys.append(pack(k[has]))
-                counts.append(squeezed(c[at[has]]))
-        return pa.table([pa.array(parts, pa.int32()), pa.array(keys, pa.binary()), pa.array(counts, pa.binary())], ["part", "keys", "counts"])
+                ks.append(k)
+                counts.append(squeezed(np.where(b[at] == keys, c[at], 0).astype("<i8")))
+        return pa.table([pa.array(parts, pa.int32()), pa.array(ks, pa.int32()), pa.array([key[0].as_py()] * len(parts), pa.int32()), pa.array(counts, pa.binary())], ["part", "k", "shard", "counts"])
 
-    asks = asked.mapInArrow(split, "part int, shard int, bigrams binary").withColumn("copy", F.pmod(F.xxhash64("part"), F.lit(copies)).cast("int"))
+    asks = asked.mapInArrow(split, "part int, k int, shard int, bigrams binary").withColumn("copy", F.pmod(F.xxhash64("part"), F.lit(copies)).cast("int"))
     sent = table_.select(F.col("shard").alias("_s"), F.explode(F.sequence(F.lit(0), F.lit(copies - 1))).alias("_c"), "keys", "counts")
-    return asks.groupBy("shard", "copy").cogroup(sent.groupBy("_s", "_c")).applyInArrow(look_up, "part int, keys binary, counts binary")
+    return asks.groupBy("shard", "copy").cogroup(sent.groupBy("_s", "_c")).applyInArrow(look_up, "part int, k int, shard int, counts binary")
+
+
+def found_counts(asks: np.ndarray, answers: pa.Table, shards: int) -> np.ndarray:
+    """The counts of all asks of a part."""
+    c = np.zeros(len(asks), np.int64)
+    places = [dict(by_shard(asks[low : low + ASKS], shards)) for low in range(0, len(asks), ASKS)]
+    for k, shard, packed in zip(answers["k"].to_pylist(), answers["shard"].to_pylist(), answers["counts"].to_pylist(), strict=True):
+        c[k * ASKS + places[k][shard]] = unsqueezed(packed, "<i8")
+    return c
 
 
 def discounts(of_counts: dict[int, int]) -> np.ndarray:
@@ -352,28 +428,30 @@ def perplexities(docs: DataFrame, labels: DataFrame) -> DataFrame:
     size = len(words[0]) + 2
     rows = saved(numbered(docs, words))
     texts = rows.filter("words is not null")
-    asked = rows.filter("bigrams is not null").select(F.col("p").alias("part"), "n", "bigrams")
+    asked = rows.filter("bigrams is not null").select(F.col("p").alias("part"), "n", "k", "bigrams")
     shards = min(-(-(texts.agg(F.sum("n")).first()[0] or 1) // SHARD), -(-size * size // SHARD))
     copies = max(1, -(-(asked.agg(F.sum("n")).first()[0] or 1) // (shards * SHARD)))
     counts = saved(counted(only(texts.select("doc_id", "words"), ids), size, shards, -(-asked.select("part").distinct().count() // MERGED) or 1))
     of_words = saved(in_shards(word_counts(unpacked(counts), size), shards))
     sent = docs.sparkSession.sparkContext.broadcast(Model(unpacked(counts), size, unpacked(of_words)))
-    answers = answered(asked.select("part", "bigrams"), counts.unionByName(of_words), shards, copies)
+    # Saved, so that the shuffle of asks is removed before texts are shuffled.
+    answers = saved(answered(asked.select("part", "k", "bigrams"), counts.unionByName(of_words), shards, copies))
 
     def score(key: tuple, own: pa.Table, known: pa.Table) -> pa.Table:
-        model = sent.value
-        b = np.concatenate([np.empty(0, np.int64), *[unpack(x) for x in known["keys"].to_pylist()]])
-        c = np.concatenate([np.empty(0, np.int64), *[unsqueezed(x, "<i8") for x in known["counts"].to_pylist()]])
-        order = np.argsort(b)
-        b, c = b[order], c[order]
-        cut = int(np.searchsorted(b, model.size * model.size))
-        model.answers(b[cut:], c[cut:])
-        b, c = np.append(b[:cut], np.iinfo(np.int64).max), np.append(c[:cut], 0)
-        found = []
-        for packed in own["words"].to_pylist():
-            keys = bigrams(unsqueezed(packed, "<u4"), model.size)
-            at = np.searchsorted(b, keys)
-            found.append(-float(model.log_probabilities(keys, np.where(b[at] == keys, c[at], 0)).mean()) if len(keys) else None)
+        model, seen, packed = sent.value, np.empty(0, np.int64), own["words"].to_pylist()
+        for w, n in unpacked_words(packed):
+            seen = distinct(np.concatenate([seen, distinct(bigrams_of(w, n, model.size))]))
+        asks = asks_of(seen, model.size)
+        c = found_counts(asks, known, shards)
+        of_words = np.arange(len(seen), len(asks))[c[len(seen) :] > 0]
+        model.answers(asks[of_words], c[of_words])
+        logs, found = model.log_probabilities(seen, c[: len(seen)]), []
+        for w, n in unpacked_words(packed):
+            keys = bigrams_of(w, n, model.size)
+            # Looked up in their order, which is several times as fast.
+            order = np.argsort(keys)
+            sums = np.bincount(np.repeat(np.arange(len(n)), n)[order], logs[np.searchsorted(seen, keys[order])], len(n))
+            found += [-float(x / m) if m else None for x, m in zip(sums, n, strict=True)]
         return pa.table([own["doc_id"], own["lang"], own["_row"], own["n"], pa.array(found, pa.float64())], ["doc_id", "lang", "_row", "n_words", "log_perplexity"])
 
     scored = texts.select("p", "doc_id", "lang", "_row", "n", "words").groupBy("p").cogroup(answers.groupBy("part")).applyInArrow(score, "doc_id long, lang string, _row long, n_words long, log_perplexity double")

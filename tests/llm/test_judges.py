@@ -5,6 +5,8 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 import pytest
 from pyspark.sql import functions as F
 
@@ -555,3 +557,29 @@ def test_saving_removes_shuffles_and_the_pipeline_its_folders(spark, tmp_path, m
     assert P.run(spark, "").count() > 30
     # What the last stage reads: its documents, and their pieces.
     assert len(list(tmp_path.glob("tagloom-*"))) == 2
+
+
+def test_answers_are_counts_alone_in_the_order_of_asks(spark, monkeypatch):
+    monkeypatch.setattr(kneser_ney, "ASKS", 30_000)
+    rnd = np.random.default_rng(5)
+    keys = np.unique(rnd.integers(0, 2**40, 100_000))
+    has, counts = rnd.random(len(keys)) < 0.5, rnd.zipf(2.0, len(keys)).clip(max=2**40)
+    counts_of = kneser_ney.in_shards(spark.createDataFrame(list(zip(keys[has].tolist(), counts[has].tolist(), strict=True)), "bigram long, c long").repartition(3), 7)
+    asked = spark.createDataFrame([(p, k, kneser_ney.pack(keys[k * 30_000 : (k + 1) * 30_000])) for p in (4, 9) for k in range(4)], "part int, k int, bigrams binary")
+    got = kneser_ney.answered(asked, counts_of, 7, 2).toArrow()
+    for p in (4, 9):
+        own = got.filter(pa.compute.equal(got["part"], p))
+        assert kneser_ney.found_counts(keys, own, 7).tolist() == np.where(has, counts, 0).tolist()
+        # The keys alone would take over two bytes each.
+        assert sum(len(x) for name in own.column_names for x in own[name].to_pylist() if isinstance(x, bytes)) < len(keys)
+
+
+def test_words_of_slices_are_those_of_each_text(monkeypatch):
+    texts = ["The  the\u00a0end.", None, "", " \t", "\u2003Word, WORD; .\x1fx\x85y\u3000", "\u01c5a \u00df. Straße", "a\u200bb . .. a:"] * 3
+    chunks = [(t or "").split() for t in texts]
+    for size in (1, 40, 10**6):
+        monkeypatch.setattr(kneser_ney, "SLICE", size)
+        found = list(kneser_ney.hashed_slices(pa.array(texts)))
+        assert np.concatenate([n for n, _, _ in found]).tolist() == [len(c) for c in chunks]
+        got = np.concatenate([hashes[at] for _, at, hashes in found])
+        assert got.tolist() == [kneser_ney.hash_of(kneser_ney.word_of(c)) for own in chunks for c in own]
