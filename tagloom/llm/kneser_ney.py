@@ -38,12 +38,12 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tagloom.llm.common import concluded, only, saved, table
+from tagloom.llm.common import concluded, only, released, releasing, saved, table
 from tagloom.llm.word_ids import Memo
 
 LEAST_COUNT, UNKNOWN_TYPES, SHARD = 3, 1_000_000, 2_000_000
 #: Bytes of text whose chunks are looked up together, words whose bigrams are sorted together, and asks to a row.
-SLICE, SORTED, ASKS = 16_000_000, 2_000_000, 1_000_000
+SLICE, SORTED, ASKS = 4_000_000, 1_000_000, 1_000_000
 #: Tasks whose counts are merged at once.
 MERGED = 256
 QUANTILE, MARGIN, PRIOR_TRUSTED, PRIOR_WORDS, CALIBRATION = 0.998, 0.25, 100, 20, 5
@@ -132,6 +132,7 @@ def calibrates(column: str = "doc_id") -> Column:
 def vocabulary(trusted: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     """The hashes of all words counted LEAST_COUNT times or more, ascending, and their ranks from the most frequent on."""
 
+    @releasing
     def count(batches):
         none, held, waiting = hash_of(""), (np.empty(0, np.int64), np.empty(0, np.int64)), []
 
@@ -178,6 +179,7 @@ def numbered(docs: DataFrame, words: tuple[np.ndarray, np.ndarray]) -> DataFrame
     sent = docs.sparkSession.sparkContext.broadcast(words)
     size = len(words[0]) + 2
 
+    @releasing
     def number(batches):
         numbers, part = _Numbers(*sent.value), TaskContext.get().partitionId()
         seen, waiting = np.empty(0, np.int64), []
@@ -262,6 +264,7 @@ def counted(rows: DataFrame, size: int, shards: int, groups: int = 1) -> DataFra
     These are merged by groups of tasks first, so that no merge takes the sums of all tasks, however many there are.
     """
 
+    @releasing
     def count(batches):
         held = np.empty(0, np.int64), np.empty(0, np.int64)
         for batch in batches:
@@ -297,6 +300,7 @@ def word_counts(counts: DataFrame, size: int) -> DataFrame:
 def in_shards(counts: DataFrame, shards: int) -> DataFrame:
     """(bigram, c) as shards like those of the count table."""
 
+    @releasing
     def split(batches):
         for batch in batches:
             keys, c = batch["bigram"].to_numpy(), batch["c"].to_numpy()
@@ -312,6 +316,7 @@ def in_shards(counts: DataFrame, shards: int) -> DataFrame:
 def unpacked(table_: DataFrame) -> DataFrame:
     """(bigram, c) of a count table."""
 
+    @releasing
     def rows(batches):
         for batch in batches:
             for keys, counts in zip(batch["keys"].to_pylist(), batch["counts"].to_pylist(), strict=True):
@@ -329,6 +334,7 @@ def answered(asked: DataFrame, table_: DataFrame, shards: int, copies: int) -> D
     shard has nothing of isn't answered.
     """
 
+    @releasing
     def split(batches):
         for batch in batches:
             for part, k, packed in zip(batch["part"].to_pylist(), batch["k"].to_pylist(), batch["bigrams"].to_pylist(), strict=True):
@@ -452,6 +458,7 @@ def perplexities(docs: DataFrame, labels: DataFrame) -> DataFrame:
             order = np.argsort(keys)
             sums = np.bincount(np.repeat(np.arange(len(n)), n)[order], logs[np.searchsorted(seen, keys[order])], len(n))
             found += [-float(x / m) if m else None for x, m in zip(sums, n, strict=True)]
+        released()
         return pa.table([own["doc_id"], own["lang"], own["_row"], own["n"], pa.array(found, pa.float64())], ["doc_id", "lang", "_row", "n_words", "log_perplexity"])
 
     scored = texts.select("p", "doc_id", "lang", "_row", "n", "words").groupBy("p").cogroup(answers.groupBy("part")).applyInArrow(score, "doc_id long, lang string, _row long, n_words long, log_perplexity double")

@@ -583,3 +583,39 @@ def test_words_of_slices_are_those_of_each_text(monkeypatch):
         assert np.concatenate([n for n, _, _ in found]).tolist() == [len(c) for c in chunks]
         got = np.concatenate([hashes[at] for _, at, hashes in found])
         assert got.tolist() == [kneser_ney.hash_of(kneser_ney.word_of(c)) for own in chunks for c in own]
+
+
+def _block(sets, stars, seed=1):
+    """A block of the join's long lists that meets itself, and one of a star, as their tasks get them."""
+    r = np.random.default_rng(seed)
+    pool = r.integers(0, 2**31 - 1, 400).astype(np.int32)
+    side, ids = pa.array([0] * sets, pa.int32()), pa.array(np.arange(sets))
+    long = pa.table({"side": side, "rep": ids, "star": pa.array(r.integers(0, stars, sets)), "n": pa.array(r.integers(180, 240, sets)), "members": pa.array(r.integers(1, 50, sets)), "q": pa.array(r.integers(0, 20, sets)), "h": pa.array([r.choice(pool, 60).tolist() for _ in range(sets)], pa.list_(pa.int32()))})
+    missing = [r.choice(200, r.integers(0, 60), replace=False).tolist() for _ in range(sets)]
+    more = [r.choice(np.arange(1000, 1100), r.integers(0, 60), replace=False).tolist() for _ in range(sets)]
+    d = [sorted(a + b) for a, b in zip(missing, more, strict=True)]
+    star = pa.table({"side": side, "rep": ids, "rows": pa.array(r.integers(1, 4, sets)), "n": pa.array([200 - len(a) + len(b) for a, b in zip(missing, more, strict=True)]), "missing": pa.array(list(map(len, missing))), "d": pa.array(d, pa.list_(pa.int64()))})
+    return long, star, [set(range(200)) ^ set(x) for x in d]
+
+
+def test_large_blocks_of_near_copies_take_little_memory(monkeypatch):
+    import tracemalloc
+
+    long, star, _ = _block(1400, 40)
+    same, one = (pa.scalar(1), pa.scalar(1)), (pa.scalar(7), pa.scalar(0), pa.scalar(0))
+    tracemalloc.start()
+    found = setjoin.block_guests(same, long), setjoin.block_answers(one, star)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 50e6 and len(found[0]) and len(found[1])
+    monkeypatch.setattr(setjoin, "CELLS", 1 << 30)
+    assert setjoin.block_guests(same, long).equals(found[0]) and setjoin.block_answers(one, star).equals(found[1])
+
+
+def test_a_stars_block_counts_all_its_links_however_it_is_cut(monkeypatch):
+    _, star, sets = _block(90, 3)
+    rows = star["rows"].to_pylist()
+    want = {i: sum(rows[j] for j in range(90) if j != i and 100 * len(sets[i] & sets[j]) >= 75 * len(sets[i] | sets[j])) for i in range(90)}
+    monkeypatch.setattr(setjoin, "CELLS", 700)
+    got = setjoin.block_answers((pa.scalar(7), pa.scalar(0), pa.scalar(0)), star).to_pydict()
+    assert dict(zip(got["rep"], got["c"], strict=True)) == {i: c for i, c in want.items() if c} and any(want.values())
