@@ -5,7 +5,9 @@ unmerged beside the last token of the prefix before it. So the table is filled f
 automaton match and a pair test for each entry, and the ids are read off backwards. Both tests are remembered.
 
 No piece holds a space mark after another character, and none holds a line feed: a text is a row of independent
-segments, cut before each run of marks and around line feeds, and each distinct segment is encoded once per worker.
+segments, cut before each run of marks and around line feeds. If no piece has a Latin letter beside another character
+than its marks either, they are cut there too. Each distinct segment is encoded once per worker, and so is each distinct
+word of segments.
 Runs of several marks are pieces of equal score, where order decides; such a segment is merged step by step.
 
 Null and empty texts have no ids and decode to the empty string. Repeated rows and ids stay separate rows.
@@ -28,6 +30,10 @@ from tagloom.llm.word_ids import Memo
 
 MARK = "▁"
 _SEGMENT = re.compile(f"\n|{MARK}*[^{MARK}\n]+|{MARK}+")
+#: A run of Latin letters or of other characters, and segments of one such run.
+_LATIN = "A-Za-zÀ-ÖØ-öø-ɏ"
+_RUN = f"[{_LATIN}]+|[^{_LATIN}{MARK}\n]+"
+_FINE_SEGMENT = re.compile(f"\n|{MARK}*(?:{_RUN})|{MARK}+")
 
 
 class PieceModel:
@@ -50,12 +56,16 @@ class PieceModel:
                 self.ids[piece], self.scores[piece] = i, model.get_score(i)
         if any(MARK in p.lstrip(MARK) or "\n" in p for p in self.ids):
             raise ValueError("a piece reaches over a space mark or a line feed, so segments are not independent")
+        whole = re.compile(_RUN).fullmatch
+        self.cut = (_FINE_SEGMENT if all(whole(p.lstrip(MARK) or "a") for p in self.ids) else _SEGMENT).findall
+        self.by_number = {str(i): name for i, name in enumerate(self.names)}
         self.automaton = ahocorasick.Automaton()
         for piece in self.ids:
-            self.automaton.add_word(piece, len(piece))
+            self.automaton.add_word(piece, piece)
         self.automaton.make_automaton()
-        self.pairs, self.edges = Memo(), {}
-        self.words, self.encoded, self.decoded = _Words(self), _Encoded(self), _Decoded(self)
+        self.pairs, self.alone, self.edges = Memo(), {}, {}
+        self.numbers = {piece: str(i) for piece, i in self.ids.items()}
+        self.words, self.encoded = _Words(self), _Encoded(self)
 
     def merged(self, text: str) -> list[tuple]:
         """The nodes left by merging, again and again, the best-scored pair, the leftmost of equals.
@@ -127,48 +137,47 @@ class PieceModel:
         """The pieces of a segment, from its prefix table."""
         if segment.startswith(MARK + MARK):
             return [node[0] for node in self.merged(segment)]
-        last = [0] * (len(segment) + 1)
-        pairs = self.pairs
-        for end, length in self.automaton.iter(segment):
-            if last[end := end + 1]:
+        # The last piece of each prefix, by its last character.
+        last: list[str | None] = [None] * len(segment)
+        pairs, alone = self.pairs, self.alone
+        for end, piece in self.automaton.iter(segment):
+            if last[end]:
                 continue
-            start = end - length
-            piece = segment[start:end]
-            if start:
-                left = segment[start - (last[start] or 1) : start]
-                fits = pairs.get((left, piece))
+            before = end - len(piece)
+            if before >= 0:
+                both = last[before] or segment[before], piece
+                fits = pairs.get(both)
                 if fits is None:
-                    fits = pairs.keep((left, piece), self.compatible(left, piece))
+                    fits = pairs.keep(both, self.compatible(*both))
             else:
-                fits = self.edge(piece, 3) is not None
+                fits = alone.get(piece)
+                if fits is None:
+                    fits = alone[piece] = self.edge(piece, 3) is not None
             if fits:
-                last[end] = length
-        out, end = [], len(segment)
-        while end:
-            start = end - (last[end] or 1)
-            out.append(segment[start:end])
-            end = start
+                last[end] = piece
+        out, end = [], len(segment) - 1
+        while end >= 0:
+            piece = last[end] or segment[end]
+            out.append(piece)
+            end -= len(piece)
         return out[::-1]
 
     def segment_ids(self, segment: str) -> str:
         """The ids of a segment as decimal numbers joined by commas; a character that is no piece is its bytes."""
-        ids: list[int] = []
-        for piece in self.split(segment):
-            i = self.ids.get(piece)
-            ids.extend([self.bytes[b] for b in piece.encode()] if i is None else [i])
-        return ",".join(map(str, ids))
+        numbers = self.numbers
+        return ",".join([numbers.get(piece) or ",".join([str(self.bytes[b]) for b in piece.encode()]) for piece in self.split(segment)])
 
     def encode(self, text: str | None) -> list[str]:
         """The ids of a text by segment, each as segment_ids() has them."""
         if not text:
             return []
         if "  " in text or MARK in text or text[0] == " " or text[-1] == " ":
-            return list(map(self.encoded.__getitem__, _SEGMENT.findall(MARK + text.replace(" ", MARK))))
+            return list(map(self.encoded.__getitem__, self.cut(MARK + text.replace(" ", MARK))))
         return list(map(self.words.__getitem__, text.split(" ")))
 
-    def decode(self, ids: list[str]) -> str:
-        """The text of ids given by segment: spaces for marks, but for the first."""
-        return b"".join(map(self.decoded.__getitem__, ids)).decode("utf-8", "replace").removeprefix(" ")
+    def decode(self, ids: str) -> str:
+        """The text of ids as decimal numbers joined by commas: spaces for marks, but for the first."""
+        return b"".join(map(self.by_number.__getitem__, ids.split(",") if ids else ())).decode("utf-8", "replace").removeprefix(" ")
 
 
 class _Encoded(Memo):
@@ -191,22 +200,10 @@ class _Words(_Encoded):
     def __missing__(self, word: str) -> str:
         found = self.old.get(word)
         if found is None:
-            found = ",".join([self.model.segment_ids(s) for s in _SEGMENT.findall(MARK + word)])
+            found = ",".join(map(self.model.encoded.__getitem__, self.model.cut(MARK + word)))
         return self.keep(word, found) if len(word) <= 64 else found
 
 
-class _Decoded(Memo):
-    def __init__(self, model: PieceModel):
-        super().__init__()
-        self.model = model
-
-    def __missing__(self, ids: str) -> bytes:
-        found = self.old.get(ids)
-        if found is None:
-            found = b"".join([self.model.names[int(i)] for i in ids.split(",")])
-        return self.keep(ids, found) if len(ids) <= 256 else found
-
-
 _shared: dict[str, PieceModel] = {}
 
 
@@ -225,9 +222,8 @@ def encode_decode(docs: DataFrame) -> DataFrame:
         for batch in batches:
             rows = []
             for doc_id, text in zip(batch["doc_id"].to_pylist(), batch["text"].to_pylist(), strict=True):
-                ids = model.encode(text)
-                joined = ",".join(ids)
-                rows.append((doc_id, joined.count(",") + 1 if joined else 0, hashlib.sha256(joined.encode()).hexdigest(), hashlib.sha256(model.decode(ids).encode()).hexdigest()))
+                joined = ",".join(model.encode(text))
+                rows.append((doc_id, joined.count(",") + 1 if joined else 0, hashlib.sha256(joined.encode()).hexdigest(), hashlib.sha256(model.decode(joined).encode()).hexdigest()))
             columns = list(zip(*rows, strict=True)) or [()] * 4
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.string(), pa.string()), strict=True)], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 

@@ -128,3 +128,27 @@ def test_empty_table(spark, docs):
     assert packing.best_fit_packing(none).count() == 0 and piece_bpe.encode_decode(none).count() == 0
     file = saved(rans.segments(none))
     assert rans.documents(file).count() == 0
+
+
+def test_words_that_differ_in_what_stands_beside_their_letters_share_segments(monkeypatch):
+    import public_tokenizers
+    import sentencepiece
+
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    library, model, split = sentencepiece.SentencePieceProcessor(model_file=path), piece_bpe.PieceModel(path), []
+    monkeypatch.setattr(model, "split", lambda segment, old=model.split: split.append(segment) or old(segment))
+    ends = ["", ",", ".", ".\n", "***", "²", "².", "́", "हि", "12", "_", "ß", "Ж", "-é", "▁", "  ", "\U0001f600"]
+    for text in [f"{a}{e}{b}" for a in ("wandering", "Größe") for b in ("wandering", "") for e in ends]:
+        ids = ",".join(model.encode(text))
+        assert ids == ",".join(map(str, library.encode(text))) and model.decode(ids) == library.decode(library.encode(text)), text
+    assert len(split) == len(set(split)) and split.count("wandering") == 1
+
+
+def test_segments_are_not_cut_where_a_piece_reaches_over(monkeypatch):
+    import public_tokenizers
+
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    assert piece_bpe.PieceModel(path).cut("▁Abc,▁d\n") == ["▁Abc", ",", "▁d", "\n"]
+    # With letters taken otherwise, this model's piece "²." reaches over the cut.
+    monkeypatch.setattr(piece_bpe, "_RUN", "[A-Za-z²]+|[^A-Za-z²]+")
+    assert piece_bpe.PieceModel(path).cut("▁Abc,▁d\n") == ["▁Abc,", "▁d", "\n"]
