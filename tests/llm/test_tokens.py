@@ -152,3 +152,17 @@ def test_segments_are_not_cut_where_a_piece_reaches_over(monkeypatch):
     # With letters taken otherwise, this model's piece "²." reaches over the cut.
     monkeypatch.setattr(piece_bpe, "_RUN", "[A-Za-z²]+|[^A-Za-z²]+")
     assert piece_bpe.PieceModel(path).cut("▁Abc,▁d\n") == ["▁Abc,", "▁d", "\n"]
+
+
+def test_encoders_go_when_a_task_of_another_step_ends():
+    import gc
+    import weakref
+
+    from tagloom.llm import word_ids
+    from tagloom.llm.common import releasing
+
+    held, ids = weakref.ref(word_ids.word_ids()), [word_ids.word_ids().encode(t) for t in ODD]
+    assert list(releasing(iter)([1, 2])) == [1, 2]
+    gc.collect()
+    assert held() is None
+    assert [word_ids.word_ids().encode(t) for t in ODD] == ids
