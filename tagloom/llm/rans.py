@@ -23,11 +23,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tagloom.llm.common import saved, table
-from tagloom.llm.word_ids import word_ids
+from tagloom.llm.word_ids import slices, word_ids
 
 SEGMENT_IDS, BLOCK_IDS, LANES, CHECKPOINT = 1 << 20, 1 << 15, 64, 128
 STEPS = BLOCK_IDS // LANES
 BITS = 16
+#: Ids below this are counted in an array, others sorted.
+DENSE_IDS = 1 << 22
 
 _FIELDS = [
     ("part", pa.int32()), ("seg", pa.int32()), ("doc_ids", pa.list_(pa.int64())), ("lengths", pa.list_(pa.int64())), ("n_ids", pa.int64()),
@@ -48,30 +50,44 @@ def frequencies(counts: np.ndarray) -> np.ndarray:
     return freqs.astype(np.uint32)
 
 
+def _counted(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The different ids in ascending order, the place of each id among them, and their counts."""
+    if len(ids) and int(ids.max()) >= DENSE_IDS:
+        return np.unique(ids, return_inverse=True, return_counts=True)
+    counts = np.bincount(ids)
+    symbols = np.flatnonzero(counts)
+    place = np.zeros(len(counts), np.int64)
+    place[symbols] = np.arange(len(symbols))
+    return symbols, place[ids], counts[symbols]
+
+
 def encode(ids: np.ndarray) -> dict[str, bytes]:
     """The table, blocks, checkpoints and sums of a segment."""
-    symbols, index, counts = np.unique(ids, return_inverse=True, return_counts=True)
-    freqs = frequencies(counts).astype(np.uint64)
-    starts = np.cumsum(freqs) - freqs
+    symbols, index, counts = _counted(ids)
+    freqs = frequencies(counts)
+    starts = (np.cumsum(freqs) - freqs).astype(np.uint32)
     blocks = -(-len(ids) // BLOCK_IDS)
     padded = np.full(blocks * BLOCK_IDS, int(counts.argmax()), np.int64)
     padded[: len(ids)] = index
-    grid = padded.reshape(blocks, STEPS, LANES)
-    state = np.full((blocks, LANES), 1 << BITS, np.uint64)
-    words = np.zeros((blocks, STEPS, LANES), np.uint16)
-    used = np.zeros((blocks, STEPS, LANES), bool)
+    # A step's ids of all blocks stand side by side.
+    grid = padded.reshape(blocks, STEPS, LANES).transpose(1, 0, 2).copy()
+    state = np.full((blocks, LANES), 1 << BITS, np.uint32)
+    words = np.zeros((STEPS, blocks, LANES), np.uint16)
+    used = np.zeros((STEPS, blocks, LANES), bool)
     states = np.zeros((blocks, STEPS // CHECKPOINT, LANES), np.uint32)
-    sixteen, low = np.uint64(BITS), np.uint64((1 << BITS) - 1)
+    sixteen, total = np.uint32(BITS), np.uint32(1 << BITS)
     for t in range(STEPS - 1, -1, -1):
-        f = freqs[grid[:, t]]
-        full = state >= (f << sixteen)
-        used[:, t] = full
-        words[:, t] = (state & low).astype(np.uint16)
-        state = np.where(full, state >> sixteen, state)
-        q, r = np.divmod(state, f)
-        state = (q << sixteen) + r + starts[grid[:, t]]
+        f = freqs[grid[t]]
+        high = state >> sixteen
+        full = high >= f
+        used[t] = full
+        words[t] = state.astype(np.uint16)
+        state = np.where(full, high, state)
+        # (q << 16) + r + start, of q and r from state by f. Doubles divide 32-bit integers by 17-bit ones to the right whole part.
+        state += (state / f).astype(np.uint32) * (total - f) + starts[grid[t]]
         if t % CHECKPOINT == 0:
             states[:, t // CHECKPOINT] = state
+    words, used = words.transpose(1, 0, 2), used.transpose(1, 0, 2)
     before = np.cumsum(used.sum(axis=2), axis=1)
     places = np.concatenate([np.zeros((blocks, 1), np.int64), before[:, CHECKPOINT - 1 : STEPS - 1 : CHECKPOINT]], axis=1)
     sums = np.array([zlib.crc32(ids[k : k + BLOCK_IDS].tobytes()) for k in range(0, len(ids), BLOCK_IDS)], np.uint32)
@@ -113,23 +129,35 @@ def segments(docs: DataFrame) -> DataFrame:
     """The rows of the file: documents range-partitioned and sorted by id, encoded to ids and coded by segment."""
 
     def code(batches):
-        encode_text, part, seg = word_ids().encode, TaskContext.get().partitionId(), 0
-        doc_ids, texts, held = [], [], 0
+        encode_all, part, seg = word_ids().encode_all, TaskContext.get().partitionId(), 0
+        held: list[tuple[pa.Array, np.ndarray, np.ndarray]] = []
+        room = SEGMENT_IDS
 
         def row():
-            ids = np.frombuffer(b"".join(texts), "<u4")
-            coded = {"part": part, "seg": seg, "doc_ids": doc_ids, "lengths": [len(x) // 4 for x in texts], "n_ids": len(ids), **encode(ids)}
-            return pa.RecordBatch.from_arrays([pa.array([coded[name]], kind) for name, kind in _FIELDS], COLUMNS)
+            doc_ids, lengths, ids = pa.concat_arrays([h[0] for h in held]), np.concatenate([h[1] for h in held]), np.concatenate([h[2] for h in held])
+            one = [0, len(doc_ids)]
+            coded = {"part": part, "seg": seg, "n_ids": len(ids), **encode(ids)}
+            lists = {"doc_ids": pa.ListArray.from_arrays(one, doc_ids), "lengths": pa.ListArray.from_arrays(one, pa.array(lengths))}
+            return pa.RecordBatch.from_arrays([lists[name] if name in lists else pa.array([coded[name]], kind) for name, kind in _FIELDS], COLUMNS)
 
         for batch in batches:
-            for doc_id, text in zip(batch["doc_id"].to_pylist(), batch["text"].to_pylist(), strict=True):
-                doc_ids.append(doc_id)
-                texts.append(encode_text(text))
-                held += len(texts[-1]) // 4
-                if held >= SEGMENT_IDS:
-                    yield row()
-                    seg, doc_ids, texts, held = seg + 1, [], [], 0
-        if doc_ids:
+            for a, b in slices(batch["text"]):
+                doc_ids = batch["doc_id"][a:b]
+                ids, lengths = encode_all(batch["text"][a:b])
+                ends = np.cumsum(lengths)
+                at = done = 0
+                while at < len(doc_ids):
+                    # A segment ends with the document that fills it.
+                    last = int(np.searchsorted(ends, done + room)) + 1
+                    upto = min(last, len(doc_ids))
+                    end = int(ends[upto - 1])
+                    held.append((doc_ids[at:upto], lengths[at:upto], ids[done:end]))
+                    room -= end - done
+                    at, done = upto, end
+                    if room <= 0:
+                        yield row()
+                        seg, held, room = seg + 1, [], SEGMENT_IDS
+        if held:
             yield row()
 
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))

@@ -166,3 +166,61 @@ def test_encoders_go_when_a_task_of_another_step_ends():
     gc.collect()
     assert held() is None
     assert [word_ids.word_ids().encode(t) for t in ODD] == ids
+
+
+def test_tables_of_texts_have_the_librarys_ids():
+    import pyarrow as pa
+
+    from tagloom.llm.word_ids import slices
+
+    texts = [*ODD, None, ".,!?", "| | =", "a-b-c-", "(a)", "<|endoftext|>", ("Größe,*" * 3 + " ") * 90]
+    texts += [f"{a}{chr(c)}{b}" for c in [*range(1, 300), 0x212B, 0x1E9E] for a, b in (("a", "b."), ("", "|"), ("É.", "É"))]
+    texts = ["cut off", *texts, "cut off"]
+    for kind, size in ((pa.string(), 1), (pa.string(), 64), (pa.large_string(), 1 << 22)):
+        encoder, table, done = WordIds(), pa.array(texts, kind)[1:-1], 0
+        for a, b in slices(table, size):
+            ids, lengths = encoder.encode_all(table[a:b])
+            assert a == done and lengths.sum() == len(ids)
+            for text, own in zip(table[a:b].to_pylist(), np.split(ids, np.cumsum(lengths)[:-1]), strict=True):
+                assert own.tolist() == library_ids(text), text
+            done = b
+        assert done == len(table)
+
+
+def test_words_of_a_table_are_looked_up_once(monkeypatch):
+    import pyarrow as pa
+
+    encoder, asked = WordIds(), []
+    monkeypatch.setattr(encoder, "_piece", lambda word, old=encoder._piece: asked.append(word) or old(word))
+    encoder.encode_all(pa.array(["Wandering, wandering.\nWANDERING, wandering *", None, "wandering. Größe größe,"] * 50))
+    assert sorted(w for w in asked if w.isalpha()) == ["größe", "wandering"] and len(asked) == len(set(asked))
+    asked.clear()
+    encoder.encode_all(pa.array(["größe. WANDERING"]))
+    assert not asked
+
+
+def test_segments_end_with_the_document_that_fills_them(spark, monkeypatch):
+    monkeypatch.setattr(rans, "SEGMENT_IDS", 5)
+    docs = spark.createDataFrame([(i, "the " * n) for i, n in enumerate([1, 2, 9, 0, 4, 0, 3])], "doc_id long, text string").coalesce(1)
+    spark.conf.set("spark.sql.shuffle.partitions", "1")
+    try:
+        got = sorted((r.seg, r.doc_ids, r.lengths, r.n_ids) for r in rans.segments(docs).collect())
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+    assert got == [(0, [0, 1], [2, 3], 5), (1, [2], [10], 10), (2, [3, 4], [1, 5], 6), (3, [5, 6], [1, 4], 5)]
+
+
+def test_small_ids_are_counted_without_sorting(monkeypatch):
+    ids = np.random.default_rng(1).integers(0, 49_409, 50_000).astype(np.uint32)
+    large = ids + np.uint32(rans.DENSE_IDS)
+    assert (rans.decode(len(large), **rans.encode(large)) == large).all()
+    monkeypatch.setattr(np, "unique", None)
+    assert (rans.decode(len(ids), **rans.encode(ids)) == ids).all()
+
+
+def test_doubles_divide_states_exactly():
+    f = np.array([1, 2, 3, 255, 257, 32_767, 49_409, 65_521, 65_535, 65_536], np.uint32)[:, None]
+    k = np.array([1, 2, 3, 1000, 65_533, 65_534, 65_535], np.uint64)[None, :]
+    for off in (0, 1):
+        state = (k * f - np.uint64(off)).astype(np.uint32)
+        assert ((state / f).astype(np.uint32) == state // f).all()
