@@ -427,6 +427,61 @@ def test_rows_that_share_an_id_are_one_document(spark):
     assert linked_rows(setjoin.jaccard_links(table(spark, rows))) == [(3, 2, 3, 1), (5, 2, 3, 1), (5, 2, 3, 1), (9, 2, 3, 1)]
 
 
+def test_shingles_of_texts_side_by_side_are_those_of_each_alone():
+    import pyarrow as pa
+    from tagloom.llm.shingles import packed, packed_values, shingle_sets
+
+    rnd = random.Random(23)
+    parts = ["a", "B", "b", "É", " ", "  ", "\n", "\t", "\x00", "\x1f", "\x0b", "\r", "\x85", "x" * 9, "q" * 16, "z" * 64, "z" * 65, "Y" * 70, "y" * 70]
+    texts = [None, "", " ", *("".join(rnd.choice(parts) for _ in range(rnd.randint(0, 40))) for _ in range(2000)), "", None]
+
+    def brute(t):
+        w = (t or "").encode().lower().split()
+        return frozenset(tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))) if w else frozenset()
+
+    n, every = shingle_sets(pa.array(texts))
+    want = [brute(t) for t in texts]
+    assert n.tolist() == [len(s) for s in want]
+    ends = np.cumsum(n)
+    got = [every[a:b].tobytes() for a, b in zip(ends - n, ends, strict=True)]
+    assert len(set(want)) == len(set(got)) == len(set(zip(want, got, strict=True)))
+    part = shingle_sets(pa.array(texts).slice(700, 90))
+    assert part[0].tolist() == n[700:790].tolist() and part[1].tobytes() == b"".join(got[700:790])
+    again = packed_values(packed(every.view(np.int64), n).slice(700, 90))
+    assert again[0].tolist() == part[0].tolist() and again[1].tobytes() == part[1].tobytes()
+
+
+def test_more_sets_than_are_broadcast_are_not_shuffled(spark, monkeypatch):
+    """The shuffles of all entries and differences hold no set that isn't in a likely pair, however few ids may be broadcast."""
+    rnd = random.Random(24)
+    texts = [(i, " ".join("".join(rnd.choice("abcdefgh") for _ in range(7)) for _ in range(30))) for i in range(80)]
+    texts += [(100 + i, texts[i][1] + " more") for i in range(4)] + [(200, texts[7][1])]
+    made = []
+    for name in ("frequent", "late_entries", "entries"):
+        f = getattr(setjoin, name)
+        monkeypatch.setattr(setjoin, name, lambda sets, *a, f=f: (made.append(sets.select("rep", "s")), f(sets, *a))[1])
+    monkeypatch.setattr(setjoin, "BROADCAST_ROWS", 0)
+    assert linked_rows(setjoin.jaccard_links(table(spark, texts))) == brute_links(texts)
+    assert made
+    for sets in made:
+        plan = sets._jdf.queryExecution().sparkPlan().toString()
+        assert "SortMergeJoin" not in plan and "ShuffledHashJoin" not in plan and "BroadcastHashJoin" in plan
+
+
+def test_rows_are_picked_by_number(spark):
+    numbers = [0, 5, 1023, 1024, 1 << 33, (1 << 33) + 7, (1 << 40) + 1025]
+    rows = table(spark, [(i, str(i)) for i in numbers]).withColumnRenamed("doc_id", "rep")
+    some = setjoin.near_numbers(table(spark, [(i, "") for i in (5, 5, 1024, (1 << 33) + 7, 77)]).withColumnRenamed("doc_id", "rep"))
+    assert sorted(r.rep for r in setjoin.picked(rows, some, True).collect()) == [5, 1024, (1 << 33) + 7]
+    assert sorted(r.rep for r in setjoin.picked(rows, some, False).collect()) == [0, 1023, 1 << 33, (1 << 40) + 1025]
+
+
+def test_parts_of_the_lists_are_many_and_whole(spark, monkeypatch):
+    monkeypatch.setattr(setjoin, "PART", 50)
+    texts = list(enumerate(families(random.Random(25), [1, 3, 30], [30, 80, 150])))
+    assert linked_rows(setjoin.jaccard_links(table(spark, texts))) == brute_links(texts)
+
+
 def test_components(spark):
     rnd = random.Random(9)
     links = [(rnd.randrange(200), rnd.randrange(200)) for _ in range(150)] + [(300, i) for i in range(301, 360)] + [(i, i + 1) for i in range(400, 470)]
